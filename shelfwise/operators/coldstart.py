@@ -73,9 +73,9 @@ def _popularity(users: DataFrame, popularity: DataFrame, n: int) -> DataFrame:
             lists = _lists(popularity.where(F.col("feature") == col), ["value"], n, f"_list_{col}")
             df = df.withColumn("value", F.col(col).cast("string")).join(lists, "value", "left").drop("value")
             tried.append(F.col(f"_list_{col}"))
-    everyone = F.transform(overall, lambda x: x["item_id"])
-    df = df.withColumn("_popularity", F.coalesce(*tried, everyone))
-    return df.drop(*[f"_list_{c}" for c in DEMOGRAPHICS])
+    df = df.withColumn("_overall", overall)
+    df = df.withColumn("_popularity", F.coalesce(*tried, F.col("_overall.item_id")))
+    return df.drop("_overall", *[f"_list_{c}" for c in DEMOGRAPHICS])
 
 
 def _category(users: DataFrame, by_category: DataFrame, n: int) -> DataFrame:
@@ -128,12 +128,8 @@ def _diversity(users: DataFrame, clusters: DataFrame, n: int) -> DataFrame:
 def _random(users: DataFrame, items: DataFrame, n: int, seed: int) -> DataFrame:
     draw = hash_uniform(F.col("item_id"), seed=seed)
     picked = ranked_list(items.select("item_id").distinct(), [draw, F.col("item_id")], n)
-    return users.withColumn(
-        "_random",
-        F.transform(
-            picked.agg(F.array_sort(F.collect_list(F.struct("rank", "item_id")))).scalar(), lambda x: x["item_id"]
-        ),
-    )
+    drawn = picked.agg(F.array_sort(F.collect_list(F.struct("rank", "item_id")))).scalar()
+    return users.withColumn("_random", drawn).withColumn("_random", F.col("_random.item_id"))
 
 
 def _rows(lists: DataFrame, items: Column) -> DataFrame:

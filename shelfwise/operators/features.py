@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.ml.feature import StopWordsRemover
 
 from ..scale import dense_index, top_n
+from ..session import cut_lineage
 
 UNKNOWN = "unknown"
 
@@ -135,12 +136,16 @@ def terms(df: DataFrame, key: str, col: str, ngrams: tuple[int, int], stop_words
     grams = []
     for n in range(ngrams[0], ngrams[1] + 1):
         starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice("w", i, n), " ")))
+        grams.append(_joined_runs(starts, n))
     return (
         staged.select(key, F.explode(F.concat(*grams)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     )
 
 
+def _joined_runs(starts: Column, n: int) -> Column:
+    return F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
+
+
 def tfidf_features(
     fit: DataFrame,
     df: DataFrame,
@@ -158,7 +163,8 @@ def tfidf_features(
     """
     stop = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else list(stop_words)
     total = fit.agg(F.count("*")).scalar()
-    counts = terms(df, key, col, ngrams, stop)
+    # Written once: the vocabulary, the weights and the norms all read the counts.
+    counts = cut_lineage(terms(df, key, col, ngrams, stop), "terms")
     fitted = counts if fit is df else terms(fit, key, col, ngrams, stop)
     vocabulary = (
         fitted.groupBy("term")

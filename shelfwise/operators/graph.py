@@ -57,7 +57,8 @@ def graph_propagate(vectors: DataFrame, edges: DataFrame, layers: int = 3, dim:
     """(node, features): mean of the vectors after 0..``layers`` products with the edge matrix.
 
     Each layer is written to the shared folder, so a lost executor costs one
-    layer and no layer is computed twice.
+    layer and no layer is computed twice. Every layer reads ``edges``; hand over
+    a stored table.
     """
     if dim is None:
         dim = len(vectors.select("features").first()["features"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_uniform
 from ..scale import dense_index, pairs_within, running_sum
+from ..session import cut_lineage
 
 RANK_BLOCK = 64
 
@@ -64,6 +65,7 @@ def cooccurrence_feedback(events: DataFrame) -> DataFrame:
         .groupBy("user_id", "product_id")
         .agg(F.max("suffix_weight").alias("suffix"))
     )
+    touches = cut_lineage(touches, "touches")
     pairs = (
         pairs_within(touches, "user_id", "product_id", ["suffix"])
         .groupBy("a_product_id", "b_product_id")
@@ -90,6 +92,7 @@ def cooccurrence_realtime(events: DataFrame) -> DataFrame:
     )
     is_mark = F.when(F.col("kind") == 0, F.lit(1)).otherwise(F.lit(0)).cast("long")
     numbered = running_sum(marks.unionByName(hits), ["user_id"], [F.col("seq"), F.col("kind")], is_mark, "number")
+    numbered = cut_lineage(numbered, "numbered")
     touched = numbered.where(F.col("kind") == 0).select(
         "user_id", F.col("product_id").alias("other_id"), "number", F.floor(F.col("number") / RANK_BLOCK).alias("block")
     )
@@ -198,7 +201,7 @@ def nth_unseen(draws: DataFrame, seen_index: DataFrame) -> DataFrame:
     )
     wanted = draws.select("user_id", "draw_id", "nth", F.lit(1).alias("kind"), F.col("draw_id").alias("tie"))
     merged = running_sum(
-        seen.unionByName(wanted),
+        cut_lineage(seen.unionByName(wanted), "draws"),
         ["user_id"],
         [F.col("nth"), F.col("kind"), F.col("tie")],
         F.when(F.col("kind") == 0, F.lit(1)).otherwise(F.lit(0)).cast("long"),
@@ -218,9 +221,9 @@ def sample_negatives(positives: DataFrame, n: int = 4, per: str = "user", seed:
     pairs = positives.select("user_id", "item_id").distinct()
     index = dense_index(pairs, "item_id", "idx")
     total = index.agg(F.count("*")).scalar()
-    indexed = pairs.join(index, "item_id")
+    indexed = cut_lineage(pairs.join(index, "item_id"), "indexed")
     per_user = (
-        pairs.groupBy("user_id")
+        indexed.groupBy("user_id")
         .agg(F.count("*").alias("s"))
         .withColumn("total", total)
         .withColumn("unseen", F.col("total") - F.col("s"))

@@ -8,10 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scale import top_n
-from .interactions import exclude_seen, item_popularity
-
-BEST_FIRST = (F.desc, "score")
-
+from ..session import cut_lineage
+from .interactions import item_popularity
 
 def by_score() -> list[Column]:
     """Highest score first, ties by item."""
@@ -57,10 +55,9 @@ def merge_popular(event_popular: DataFrame, model_popular: DataFrame, n: int) ->
     extra = model_popular.select("item_id", F.lit(1).alias("source"), "rank").join(
         event_popular.select("item_id"), "item_id", "left_anti"
     )
-    order = [F.col("source"), F.col("rank"), F.col("item_id")]
-    both = first.unionByName(extra)
-    ranked = top_n(both.withColumnRenamed("rank", "_place").withColumn("_all", F.lit(0)), ["_all"],
-                   [F.col("source"), F.col("_place"), F.col("item_id")], 3 * n)
+    both = first.unionByName(extra).withColumnRenamed("rank", "_place").withColumn("_all", F.lit(0))
+    # Both inputs are short ranked lists, so one group holds them.
+    ranked = top_n(both, ["_all"], [F.col("source"), F.col("_place"), F.col("item_id")], 1000)
     return ranked.where((F.col("source") == 0) | (F.col("rank") <= 2 * n)).select("item_id", "rank")
 
 
@@ -74,7 +71,7 @@ def fill_from_popular(
     offered only as many popular items as can be needed: the open places plus
     those popular items that are seen or listed already.
     """
-    own = recs.where(F.col("rank") <= n).select("user_id", "item_id", "rank")
+    own = cut_lineage(recs.where(F.col("rank") <= n).select("user_id", "item_id", "rank"), "own")
     everyone = own.select("user_id") if users is None else own.select("user_id").unionByName(users.select("user_id"))
     known = seen.select("user_id", "item_id").unionByName(own.select("user_id", "item_id")).distinct()
     # The popular list has a fixed length, so it travels as one array.

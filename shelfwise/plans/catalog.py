@@ -30,7 +30,7 @@ from ..operators import (
     sessions,
     store,
 )
-from ..session import shared_path, tune
+from ..session import cut_lineage, shared_path, tune
 from ..sources import files, messages
 from ..scale import dense_index
 from ..streaming import jobs
@@ -54,10 +54,10 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*columns)
 
 
-def query(fn: Query) -> Query:
+def query(fn: Query, places: int = 6) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         tune(spark)
-        return rounded(fn(spark, sf_dir))
+        return rounded(fn(spark, sf_dir), places)
 
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
@@ -65,6 +65,11 @@ def query(fn: Query) -> Query:
     return run
 
 
+def finer_query(fn: Query) -> Query:
+    """For results whose exact values have more than six decimals, where rounding would meet ties."""
+    return query(fn, 12)
+
+
 # ---------------------------------------------------------------- shared inputs
 
 
@@ -792,7 +797,7 @@ def graph_propagate(spark, sf):
     start = v.select(graph.user_node(F.col("item_id")).alias("node"), "features").unionByName(
         v.select(graph.item_node(F.col("item_id")).alias("node"), "features")
     )
-    out = graph.graph_propagate(start, graph.graph_normalize(ev), 2, 64)
+    out = graph.graph_propagate(start, cut_lineage(graph.graph_normalize(ev), "edges"), 2, 64)
     return out.select("node", F.posexplode("features").alias("pos", "value"))
 
 
@@ -868,12 +873,12 @@ def rank_candidates(spark, sf):
     )
 
 
-@query
+@finer_query
 def ensemble_weighted_rank(spark, sf):
     return ensemble.ensemble_weighted_rank(lists(spark, sf))
 
 
-@query
+@finer_query
 def diversity_penalty(spark, sf):
     return ensemble.diversity_penalty(ranking.top_n_per_user(one_model(spark, sf), 20)).select("user_id", "item_id", "score", "rank")
 
@@ -1106,7 +1111,7 @@ def stream_update_recommendations(spark, sf):
     return sink.current
 
 
-@query
+@finer_query
 def stream_rank_and_ensemble(spark, sf):
     """Each model's list as one candidate message per user."""
     path = shared_path(spark, "ensemble")

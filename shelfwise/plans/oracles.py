@@ -158,7 +158,7 @@ oracle("validate_messages", "ev", "SELECT event_id, event_type <> 'add_to_cart'
 oracle("write_messages", "ev", """
     SELECT user_id || ':' || product_id AS key,
         '{"user_id":' || user_id || ',"product_id":' || product_id || ',"event_type":"' || event_type
-        || '","timestamp":' || epoch_ms(ts) || '}' AS value FROM ev""")
+        || '","timestamp":' || (epoch_us(ts) // 1000) || '}' AS value FROM ev""")
 oracle("read_events_stream", "ev", f"""
     SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(product_id AS VARCHAR) AS product_id, event_type, session_id,
         rating, strftime(ts, {TS}) AS ts FROM ev""")
@@ -208,9 +208,9 @@ oracle("clean_reviews", "raw", f"""
 BLANK = r"[\s\pZ\x0B\x1C-\x1F\x{85}]+"
 oracle("text_features", "", f"""
     SELECT doc_id, CAST(length(text) AS INTEGER) AS review_text_length,
-        CAST(len(list_filter(regexp_split_to_array(text, '{BLANK}'), w -> w <> '')) AS INTEGER) AS review_text_word_count,
+        CAST(len(list_filter(regexp_split_to_array(text, '{BLANK}'), lambda w: w <> '')) AS INTEGER) AS review_text_word_count,
         CAST(length(source) AS INTEGER) AS summary_length,
-        CAST(len(list_filter(regexp_split_to_array(source, '{BLANK}'), w -> w <> '')) AS INTEGER) AS summary_word_count
+        CAST(len(list_filter(regexp_split_to_array(source, '{BLANK}'), lambda w: w <> '')) AS INTEGER) AS summary_word_count
     FROM documents""")
 oracle("temporal_features", "rev", f"""
     SELECT user_id, product_id, votes, strftime(review_date, {TS}) AS review_date,
@@ -278,9 +278,9 @@ STOP_WORDS = ["and", "are", "for", "from", "in", "is", "it", "of", "on", "or", "
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 oracle("tfidf_features", "", f"""
     WITH words AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\pL\\pN_]{{2,}}'),
-            w -> NOT list_contains([{_STOP}], w)) AS w FROM documents),
+            lambda w: NOT list_contains([{_STOP}], w)) AS w FROM documents),
         grams AS (SELECT doc_id, unnest(w) AS term FROM words
-            UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) FROM words),
+            UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words),
         tf AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY 1, 2),
         n AS (SELECT count(*) AS n FROM documents),
         df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
@@ -640,11 +640,11 @@ oracle("rank_candidates", "lg", f"""
 _W = "CASE model WHEN 'lightgcn' THEN 0.5::DOUBLE ELSE 0.5::DOUBLE END"
 _ENS = f"""e AS (SELECT user_id, item_id, sum(score * {{f}}{_W} / rank) / count(*) AS score, count(*) AS models FROM lst GROUP BY 1, 2),
     ek AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM e)"""
-oracle("ensemble_weighted_rank", "lst", f"WITH {_ENS.format(f='')} SELECT user_id, item_id, {r('score')} AS score, models, rank FROM ek")
+oracle("ensemble_weighted_rank", "lst", f"WITH {_ENS.format(f='')} SELECT user_id, item_id, {r('score', 12)} AS score, models, rank FROM ek")
 _PEN = "CASE WHEN rank > 1 THEN score * (1 - 0.2::DOUBLE / rank) ELSE score END"
 oracle("diversity_penalty", "lg", f"""
     WITH d AS (SELECT user_id, item_id, {_PEN} AS score FROM lg WHERE rank <= 20)
-    SELECT user_id, item_id, {r('score')} AS score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM d""")
+    SELECT user_id, item_id, {r('score', 12)} AS score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM d""")
 _TOP10 = f"""SELECT user_id, item_id, {r('score')} AS score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank
     FROM h QUALIFY rank <= 10"""
 oracle("hybrid_weighted_scores", "rk", f"""
@@ -669,13 +669,14 @@ def _listed(source: str) -> str:
 
 
 oracle("cold_start_popularity", "pref poploc popall", _listed(_POPLIST.format(n=10)))
-_CATLIST = """SELECT user_id, list_slice(CASE WHEN len(chosen) < {n} THEN list_concat(chosen, list_filter(fill, x -> NOT list_contains(chosen, x)))
+_CATLIST = """SELECT user_id, list_slice(CASE WHEN len(chosen) < {n} THEN list_concat(chosen, list_filter(fill, lambda x: NOT list_contains(chosen, x)))
         ELSE chosen END, 1, {n}) AS l FROM (
-    SELECT user_id, chosen, flatten(list_transform((SELECT list(items ORDER BY category) FROM
-            (SELECT category, list(item_id ORDER BY rank) AS items FROM popcat WHERE rank <= {n} GROUP BY 1 ORDER BY 1 LIMIT 10)),
-            c -> list_slice(c, 1, CAST(greatest(1, ({n} - len(chosen)) // (SELECT least(10, count(DISTINCT category)) FROM popcat)) AS BIGINT)))) AS fill
-    FROM (SELECT user_id, coalesce((SELECT list(item_id ORDER BY category, rank) FROM popcat
-            WHERE list_contains(preferred, category) AND rank <= greatest(1, {n} // len(preferred))), []) AS chosen FROM pref))"""
+    SELECT user_id, chosen, flatten(list_transform(shelves, lambda c: list_slice(c, 1, per))) AS fill
+    FROM (SELECT user_id, chosen, shelves, CAST(greatest(1, ({n} - len(chosen)) // len(shelves)) AS BIGINT) AS per
+        FROM (SELECT user_id, coalesce((SELECT list(item_id ORDER BY category, rank) FROM popcat
+            WHERE list_contains(preferred, category) AND rank <= greatest(1, {n} // len(preferred))), []) AS chosen FROM pref),
+        (SELECT list(items ORDER BY category) AS shelves FROM
+            (SELECT category, list(item_id ORDER BY rank) AS items FROM popcat WHERE rank <= {n} GROUP BY 1 ORDER BY 1 LIMIT 10))))"""
 oracle("cold_start_category", "pref popcat", _listed(_CATLIST.format(n=10)))
 _DIV = """SELECT list_slice(list(item_id ORDER BY cluster, rank), 1, {n}) FROM clu
     WHERE rank <= greatest(1, {n} // (SELECT count(DISTINCT cluster) FROM clu))"""
@@ -799,5 +800,5 @@ oracle("stream_product_features", "ev", _PRODUCT_EVENTS)
 oracle("stream_user_features", "ev", f"SELECT user_id, {_EVENT_COUNTS} FROM ev GROUP BY 1")
 oracle("stream_rank_and_ensemble", "lst", f"""
     WITH {_ENS.format(f='2 * ')}, d AS (SELECT user_id, item_id, {_PEN} AS score FROM ek)
-    SELECT user_id, item_id, {r('score')} AS score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM d""")
+    SELECT user_id, item_id, {r('score', 12)} AS score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM d""")
 oracle("stream_feedback_weights", "att", _FOLD)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import activity_level, rank_to_score
 from ..operators import cleaning, interactions, ranking
+from ..session import cut_lineage
 
 
 def update_recommendations(
@@ -27,7 +28,7 @@ def update_recommendations(
     targets = sizes.where(F.col("products") <= max_seen)
     history = seen.join(targets.select("user_id"), "user_id", "left_semi")
     if related is None:
-        related = interactions.cooccurrence_feedback(events)
+        related = cut_lineage(interactions.cooccurrence_feedback(events), "related")
     known = history.select("user_id", F.col("product_id").alias("item_id"))
     candidates = interactions.exclude_seen(interactions.related_candidates(history, related), known)
     own = ranking.top_n_per_user(candidates, n)

@@ -12,11 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from .session import cut_lineage
+
 DEFAULT_CHUNKS = 1024
 
 
-def chunk_of(df: DataFrame, order: Sequence[Column], chunks: int = DEFAULT_CHUNKS) -> Column:
-    """Number of the order chunk a row of ``df`` falls in, ascending with ``order``.
+def with_chunk(df: DataFrame, order: Sequence[Column], out: str, chunks: int = DEFAULT_CHUNKS) -> DataFrame:
+    """Add the number of the order chunk each row falls in, ascending with ``order``.
 
     Cut points are the ``chunks - 1`` order values with the smallest hash, a
     repeatable uniform sample that fits in one row whatever the input size.
@@ -32,10 +34,15 @@ def chunk_of(df: DataFrame, order: Sequence[Column], chunks: int = DEFAULT_CHUNK
         .scalar()
     )
     steps = F.array(*[F.lit(2**k) for k in reversed(range(depth))])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(F.try_element_at(cuts, at + step) <= value, at + step).otherwise(at),
+
+    def halve(at: Column, step: Column) -> Column:
+        return F.when(F.try_element_at(F.col("_cuts"), at + step) <= F.col("_at"), at + step).otherwise(at)
+
+    return (
+        df.withColumn("_cuts", cuts)
+        .withColumn("_at", value)
+        .withColumn(out, F.aggregate(steps, F.lit(0), halve))
+        .drop("_cuts", "_at")
     )
 
 
@@ -51,9 +58,10 @@ def running_sum(
 
     ``order`` sorts ascending and must be unique within a key; keys must not be
     null. No task sees more than one chunk of a key, and the totals that are
-    ordered per key are at most ``chunks`` rows.
+    ordered per key are at most ``chunks`` rows. Totals, window and join all use
+    the one partitioning by key and chunk, so the rows are shuffled once.
     """
-    staged = df.withColumn("_value", value).withColumn("_chunk", chunk_of(df, order, chunks))
+    staged = with_chunk(df.withColumn("_value", value), order, "_chunk", chunks).repartition(*keys, "_chunk")
     totals = staged.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_total"))
     by_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     before = by_key.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
@@ -73,9 +81,13 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out:
 
 
 def dense_index(df: DataFrame, col: str, out: str) -> DataFrame:
-    """(value, 0-based index) of the sorted distinct non-null values of a column."""
+    """(value, 0-based index) of the sorted distinct non-null values of a column.
+
+    The index is written to the shared folder: its users join it several times
+    and must all see the same numbers.
+    """
     values = df.select(col).where(F.col(col).isNotNull()).distinct()
-    return positions(values, [], [F.col(col)], out).withColumn(out, F.col(out) - 1)
+    return cut_lineage(positions(values, [], [F.col(col)], out).withColumn(out, F.col(out) - 1), "index")
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, out: str = "rank") -> DataFrame:
