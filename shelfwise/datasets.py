@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts. A table of fewer pieces than cores is small, so its texts are dealt out before they are parsed."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews without text: one row per line item, written by the order's customer."""
     lines = table(spark, sf_dir, "lineitem")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..scale import running_sum
+from ..session import cut_lineage
 
 
 def _percent(part, whole):
@@ -59,7 +60,8 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     the shuffle. The median comes from running counts cut into chunks, never
     from one task holding a column.
     """
-    values = _long(df, cols or numeric_columns(df), "double").groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    counted = _long(df, cols or numeric_columns(df), "double").groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    values = cut_lineage(counted, "values")
     present = values.where(F.col("value").isNotNull() & ~F.isnan("value"))
     n, v = F.col("n"), F.col("value")
     mean = F.sum(v * n) / F.sum(n)
@@ -124,7 +126,9 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Per other column: distinct values, mode, largest count, empty texts and id-like flags."""
     names = cols or categorical_columns(df)
-    counts = _long(df, names, "string").groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    counts = cut_lineage(
+        _long(df, names, "string").groupBy("column_name", "value").agg(F.count("*").alias("n")), "values"
+    )
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     n = F.col("n")
     # The winning count first (one row per column, safe to broadcast), then the

@@ -343,7 +343,7 @@ def minmax_scale(spark, sf):
 
 @query
 def tfidf_features(spark, sf):
-    docs = d.table(spark, sf, "documents").select("doc_id", "text")
+    docs = d.documents(spark, sf).select("doc_id", "text")
     return features.tfidf_features(docs, docs, "doc_id", "text", stop_words=STOP_WORDS)
 
 

@@ -23,7 +23,7 @@ def update_recommendations(
     A user with more than ``max_seen`` products is taken for a bot and gets no
     list, but still counts in the item relation.
     """
-    seen = interactions.seen_products(events)
+    seen = cut_lineage(interactions.seen_products(events), "seen")
     sizes = seen.groupBy("user_id").agg(F.count("*").alias("products"))
     targets = sizes.where(F.col("products") <= max_seen)
     history = seen.join(targets.select("user_id"), "user_id", "left_semi")
@@ -44,7 +44,7 @@ def update_recommendations(
 
 def behaviour_recommendations(events: DataFrame, n: int = 100, min_user: int = 5, min_product: int = 5) -> DataFrame:
     """The whole way from raw events to lists, over sufficiently active users and products."""
-    active = cleaning.filter_min_activity(events, min_user, min_product)
+    active = cut_lineage(cleaning.filter_min_activity(events, min_user, min_product), "active")
     return update_recommendations(active, ranking.top_popular(events, n), n)
 
 

@@ -25,7 +25,7 @@ def with_chunk(df: DataFrame, order: Sequence[Column], out: str, chunks: int = D
     Each row finds its chunk by halving.
     """
     depth = max(1, (chunks - 1).bit_length())
-    value = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    value = order[0] if len(order) == 1 else F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     cuts = (
         df.select(value.alias("v"))
         .orderBy(F.xxhash64("v"), "v")
@@ -33,17 +33,12 @@ def with_chunk(df: DataFrame, order: Sequence[Column], out: str, chunks: int = D
         .agg(F.array_sort(F.collect_list("v")).alias("cuts"))
         .scalar()
     )
-    steps = F.array(*[F.lit(2**k) for k in reversed(range(depth))])
-
-    def halve(at: Column, step: Column) -> Column:
-        return F.when(F.try_element_at(F.col("_cuts"), at + step) <= F.col("_at"), at + step).otherwise(at)
-
-    return (
-        df.withColumn("_cuts", cuts)
-        .withColumn("_at", value)
-        .withColumn(out, F.aggregate(steps, F.lit(0), halve))
-        .drop("_cuts", "_at")
-    )
+    # One projection per halving keeps the search inside generated code.
+    out_df = df.withColumn("_cuts", cuts).withColumn("_at", value).withColumn(out, F.lit(0))
+    for k in reversed(range(depth)):
+        probe = F.try_element_at(F.col("_cuts"), F.col(out) + 2**k)
+        out_df = out_df.withColumn(out, F.col(out) + F.when(probe <= F.col("_at"), 2**k).otherwise(0))
+    return out_df.drop("_cuts", "_at")
 
 
 def running_sum(
@@ -58,10 +53,11 @@ def running_sum(
 
     ``order`` sorts ascending and must be unique within a key; keys must not be
     null. No task sees more than one chunk of a key, and the totals that are
-    ordered per key are at most ``chunks`` rows. Totals, window and join all use
-    the one partitioning by key and chunk, so the rows are shuffled once.
+    ordered per key are at most ``chunks`` rows. The rows are written with their
+    chunk first, since both the totals and the windows read them; after that they
+    are shuffled once, the window and the join sharing the partitioning.
     """
-    staged = with_chunk(df.withColumn("_value", value), order, "_chunk", chunks).repartition(*keys, "_chunk")
+    staged = cut_lineage(with_chunk(df.withColumn("_value", value), order, "_chunk", chunks), "chunks")
     totals = staged.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_total"))
     by_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     before = by_key.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
