@@ -85,7 +85,7 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     outliers = (
         present.join(F.broadcast(stats.select("column_name", "mean", "std")), "column_name")
         .groupBy("column_name")
-        .agg(F.sum(F.when(F.abs((v - F.col("mean")) / F.col("std")) > 3, n).otherwise(0)).alias("outliers"))
+        .agg(F.sum(F.when(F.abs((v - F.col("mean")) / F.nullif(F.col("std"), F.lit(0.0))) > 3, n).otherwise(0)).alias("outliers"))
     )
     upto = running_sum(present, ["column_name"], [v], n, "upto").join(
         F.broadcast(moments.select("column_name", "present")), "column_name"
