@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import hash_uniform
+from ..scale import SINGLE_TASK_ROWS, running_sum
 
 # Accepted input names and the column each stands for. When a file
 # has several names for one column, the one listed last is kept.
@@ -78,7 +79,16 @@ def filter_min_activity(reviews: DataFrame, min_user: int = 5, min_product: int
 
 def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows without replacement, the same ones on every run; all rows if there are fewer."""
-    return df.orderBy(hash_uniform(*[F.col(c) for c in df.columns], seed=seed), *df.columns).limit(n)
+    draw = hash_uniform(*[F.col(c) for c in df.columns], seed=seed)
+    order = [draw, *[F.col(c) for c in df.columns]]
+    if n <= SINGLE_TASK_ROWS:
+        return df.orderBy(*order).limit(n)
+    # Numbering needs a unique order, so equal rows are numbered as one and unfolded.
+    groups = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
+    upto = running_sum(groups, [], order, F.col("_n"), "_upto")
+    taken = F.least(F.col("_n"), F.lit(n) - (F.col("_upto") - F.col("_n")))
+    kept = upto.withColumn("_take", taken).where(F.col("_take") > 0)
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_take")))).select(*df.columns)
 
 
 def split_train_val_test(

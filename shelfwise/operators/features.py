@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.ml.feature import StopWordsRemover
 
-from ..scale import dense_index, top_n
+from ..scale import broadcast_if_small, dense_index, top_n
 from ..session import cut_lineage
 
 UNKNOWN = "unknown"
@@ -158,8 +158,9 @@ def tfidf_features(
 ) -> DataFrame:
     """Sparse unit vectors as (key, term, weight) rows: tf times ln((1+n)/(1+df))+1, scaled to length one.
 
-    A term in at least a ``min_df`` share of the texts: there are at most
-    (distinct terms per text) / min_df of those, so the vocabulary stays small.
+    Terms must occur in at least a ``min_df`` share of the texts. There are at most
+    (distinct terms per text) / min_df of those, so the vocabulary is normally
+    small enough to be sent to the counts, which then need no shuffle by term.
     """
     stop = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else list(stop_words)
     total = fit.agg(F.count("*")).scalar()
@@ -173,9 +174,12 @@ def tfidf_features(
         .where((F.col("df") >= min_df * F.col("n")) & (F.col("df") <= max_df * F.col("n")))
         .select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     )
-    weighted = counts.join(vocabulary, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    weighted = counts.join(broadcast_if_small(vocabulary, "vocabulary"), "term").select(
+        key, "term", (F.col("tf") * F.col("idf")).alias("w")
+    )
+    # One text's terms per window.
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
+    return weighted.withColumn("norm", norm).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
 # ---------------------------------------------------------------- behaviour events

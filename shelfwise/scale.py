@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .session import cut_lineage
 
 DEFAULT_CHUNKS = 1024
+BROADCAST_ROWS = 1_000_000
+SINGLE_TASK_ROWS = 100_000
 
 
 def with_chunk(df: DataFrame, order: Sequence[Column], out: str, chunks: int = DEFAULT_CHUNKS) -> DataFrame:
@@ -96,6 +98,23 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, o
     return df.withColumn(out, F.row_number().over(window)).where(F.col(out) <= n)
 
 
+def first_rows(df: DataFrame, order: Sequence[Column], n: int, skip: int = 0) -> DataFrame:
+    """Rows ``skip + 1`` .. ``skip + n`` by ``order``, which must ascend and be unique.
+
+    Short lists are merged in one task; long ones are numbered chunk by chunk.
+    """
+    if skip + n <= SINGLE_TASK_ROWS:
+        return df.orderBy(*order).offset(skip).limit(n)
+    numbered = positions(df, [], order, "_position")
+    return numbered.where((F.col("_position") > skip) & (F.col("_position") <= skip + n)).drop("_position")
+
+
+def broadcast_if_small(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, written and counted; marked for broadcast if it has at most ``rows`` rows."""
+    stored = cut_lineage(df, name)
+    return F.broadcast(stored) if stored.limit(rows + 1).count() <= rows else stored
+
+
 def pairs_within(df: DataFrame, key: str, item: str, carry: Sequence[str], block: int = 1024) -> DataFrame:
     """Unordered pairs of rows sharing ``key``: (key, a_item, b_item, a_*, b_*), a_item < b_item.
 

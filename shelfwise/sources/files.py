@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import shard_id
+from ..scale import first_rows
 
 
 def read_reviews(
@@ -73,8 +74,8 @@ def read_factors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def table_page(df: DataFrame, key: str, skip: int = 0, limit: int = 100) -> DataFrame:
-    """Rows ``skip`` .. ``skip + limit`` in key order."""
-    return df.orderBy(key).offset(skip).limit(limit)
+    """Rows ``skip`` .. ``skip + limit`` in the order of a unique key."""
+    return first_rows(df, [F.col(key)], limit, skip)
 
 
 def table_upsert(base: DataFrame, changes: DataFrame, key: str, now: str) -> DataFrame:

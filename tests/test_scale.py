@@ -121,3 +121,24 @@ def test_weight_fold_equals_the_loop(spark, monkeypatch):
         want[u, m] = max(0.1, min(1.0, want.get((u, m), {"a": 0.99}.get(m, 0.5)) + step))
     got = {(r[0], r[1]): r[2] for r in ensemble.user_model_weights(df, {"a": 0.99}).collect()}
     assert got == pytest.approx(want)
+
+
+def test_long_lists_are_numbered_instead_of_merged(spark, monkeypatch):
+    from shelfwise.operators import cleaning
+
+    df = spark.createDataFrame([(i % 40,) for i in range(100)], "k INT")
+    short = sorted(r[0] for r in cleaning.sample_rows(df, 30).collect())
+    page = [r[0] for r in scale.first_rows(df.distinct(), [F.col("k")], 5, 10).orderBy("k").collect()]
+    monkeypatch.setattr(scale, "SINGLE_TASK_ROWS", 3)
+    monkeypatch.setattr(cleaning, "SINGLE_TASK_ROWS", 3)
+    assert sorted(r[0] for r in cleaning.sample_rows(df, 30).collect()) == short
+    assert [r[0] for r in scale.first_rows(df.distinct(), [F.col("k")], 5, 10).orderBy("k").collect()] == page
+    assert page == [10, 11, 12, 13, 14]
+    assert cleaning.sample_rows(df, 500).count() == 100
+
+
+def test_small_tables_are_broadcast_and_large_ones_not(spark):
+    df = spark.range(50)
+    small = scale.broadcast_if_small(df, "t")._jdf.queryExecution().toString()
+    large = scale.broadcast_if_small(df, "t", rows=10)._jdf.queryExecution().toString()
+    assert "broadcast" in small.lower() and "broadcast" not in large.lower()
