@@ -17,6 +17,7 @@ from .session import cut_lineage
 DEFAULT_CHUNKS = 1024
 BROADCAST_ROWS = 1_000_000
 SINGLE_TASK_ROWS = 100_000
+WINDOW_ROWS = 1_000_000
 
 
 def with_chunk(df: DataFrame, order: Sequence[Column], out: str, chunks: int = DEFAULT_CHUNKS) -> DataFrame:
@@ -54,12 +55,16 @@ def running_sum(
     """Add ``out``: the sum of ``value`` over this and all earlier rows of the key.
 
     ``order`` sorts ascending and must be unique within a key; keys must not be
-    null. No task sees more than one chunk of a key, and the totals that are
-    ordered per key are at most ``chunks`` rows. The rows are written with their
-    chunk first, since both the totals and the windows read them; after that they
-    are shuffled once, the window and the join sharing the partitioning.
+    null. The rows are written first, so the input is computed once and its size
+    is known. Up to ``WINDOW_ROWS`` rows one plain window does. Beyond that no
+    task sees more than one chunk of a key, the totals ordered per key are at most
+    ``chunks`` rows, and the window and the join share one partitioning.
     """
-    staged = cut_lineage(with_chunk(df.withColumn("_value", value), order, "_chunk", chunks), "chunks")
+    stored = cut_lineage(df.withColumn("_value", value), "rows")
+    if stored.count() <= WINDOW_ROWS:
+        window = W.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return stored.withColumn(out, F.sum("_value").over(window)).drop("_value")
+    staged = with_chunk(stored, order, "_chunk", chunks)
     totals = staged.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_total"))
     by_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     before = by_key.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)

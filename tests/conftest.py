@@ -1,5 +1,6 @@
 import pytest
 
+from shelfwise import scale
 from shelfwise.session import local_session
 
 SF = "/root/testdata/sf0.001"
@@ -17,3 +18,11 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return SF
+
+
+@pytest.fixture(params=["window", "chunks"])
+def running(request, monkeypatch):
+    """Run a test with plain windows and with chunks, whatever the size."""
+    if request.param == "chunks":
+        monkeypatch.setattr(scale, "WINDOW_ROWS", 0)
+    return request.param

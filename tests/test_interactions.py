@@ -47,13 +47,13 @@ def as_dict(df):
     return {(r["product_id"], r["related_id"]): r["score"] for r in df.collect()}
 
 
-def test_cooccurrence_feedback(spark):
+def test_cooccurrence_feedback(spark, running):
     rows = events()
     assert as_dict(interactions.cooccurrence_feedback(frame(spark, rows))) == feedback_loop(rows)[1]
 
 
 @pytest.mark.parametrize("block", [2, 64])
-def test_cooccurrence_realtime(spark, block, monkeypatch):
+def test_cooccurrence_realtime(spark, block, running, monkeypatch):
     monkeypatch.setattr(interactions, "RANK_BLOCK", block)
     rows = events(products=14)
     assert as_dict(interactions.cooccurrence_realtime(frame(spark, rows))) == realtime_loop(rows)
@@ -124,7 +124,7 @@ def test_sample_negatives_per_user(spark, n):
     assert first.exceptAll(again).count() == 0
 
 
-def test_sample_negatives_per_row(spark):
+def test_sample_negatives_per_row(spark, running):
     pairs, df = ratings(spark)
     rows = interactions.sample_negatives(df, 1, "row").collect()
     assert len(rows) == len(pairs)

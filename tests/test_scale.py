@@ -15,7 +15,8 @@ def hot_rows(n=400, keys=6, seed=1):
 
 
 @pytest.mark.parametrize("chunks", [2, 16, 1024])
-def test_running_sum_with_hot_key(spark, chunks):
+def test_running_sum_with_hot_key(spark, chunks, monkeypatch):
+    monkeypatch.setattr(scale, "WINDOW_ROWS", 0)
     rows = hot_rows()
     df = spark.createDataFrame(rows, "k INT, seq INT, v INT")
     got = {
@@ -29,19 +30,19 @@ def test_running_sum_with_hot_key(spark, chunks):
     assert got == want
 
 
-def test_running_sum_without_keys_and_with_ties_in_first_column(spark):
+def test_running_sum_without_keys_and_with_ties_in_first_column(spark, running):
     rows = [(i % 3, i) for i in range(100)]
     df = spark.createDataFrame(rows, "a INT, b INT")
     got = {(r["a"], r["b"]): r["n"] for r in scale.positions(df, [], [F.col("a"), F.col("b")], "n").collect()}
     assert got == {row: i + 1 for i, row in enumerate(sorted(rows))}
 
 
-def test_running_sum_of_nothing(spark):
+def test_running_sum_of_nothing(spark, running):
     df = spark.createDataFrame([], "k INT, seq INT, v INT")
     assert scale.running_sum(df, ["k"], [F.col("seq")], F.col("v"), "s").count() == 0
 
 
-def test_dense_index_of_texts(spark):
+def test_dense_index_of_texts(spark, running):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("b",), ("é",), ("",)], "w STRING")
     assert {r["w"]: r["i"] for r in scale.dense_index(df, "w", "i").collect()} == {"": 0, "a": 1, "b": 2, "é": 3}
 
@@ -107,7 +108,7 @@ def test_user_similarity(spark, block, monkeypatch):
     assert row["personalization"] == pytest.approx(1 - sum(want.values()) / len(want))
 
 
-def test_weight_fold_equals_the_loop(spark, monkeypatch):
+def test_weight_fold_equals_the_loop(spark, running, monkeypatch):
     monkeypatch.setattr(ensemble, "FOLD_BLOCK", 4)
     rnd = random.Random(5)
     kinds = ["click", "purchase", "rating", "view_time"]

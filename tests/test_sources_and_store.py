@@ -93,7 +93,7 @@ def test_split_parts_cover_the_table(spark):
     assert abs(sizes["test"] - 400) < 80 and abs(sizes["validation"] - 400) < 80
 
 
-def test_profiles_of_odd_columns(spark):
+def test_profiles_of_odd_columns(spark, running):
     df = spark.createDataFrame(
         [(1.0, None, "", 1), (1.0, None, "a", 1), (-4.0, None, None, 1)], "x DOUBLE, empty DOUBLE, t STRING, c INT")
     rows = {r["column_name"]: r for r in quality.numeric_profile(df).collect()}
