@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_uniform, rank_score
-from ..scale import top_n
 from .ranking import popularity_by_category, popularity_by_demographic, ranked_list
 
 # User attributes in the order they are tried, and the strategy chain.

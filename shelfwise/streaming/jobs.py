@@ -23,7 +23,6 @@ from ..operators.ensemble import (
     model_success_weights,
     user_model_weights,
 )
-from ..operators.matching import rank_candidates
 from ..operators.ranking import latest_per_key
 from ..operators.sessions import SESSION_COUNTS
 from ..session import shared_path

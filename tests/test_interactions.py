@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from shelfwise.operators import interactions, ranking
 from shelfwise.plans.recommend import update_recommendations
