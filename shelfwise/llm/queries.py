@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, mixing, ngram_join, packing, quality_rules, topk, warc
+from . import licenses, line_dedup, mixing, ngram_join, packing, paragraph_dedup, quality_rules, suffix_dedup, topk, warc
 from .common import table
 
 
+def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated paragraphs and passages of all documents with their components."""
+    return paragraph_dedup.repeated_parts(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and host verdict of every document."""
     return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
@@ -32,6 +37,11 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the 400-byte strings that occur twice."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of the shingle set and component of every document."""
     return ngram_join.join_components(table(spark, sf_dir, "documents"))
@@ -56,7 +66,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_quality_rules, op3_line_dedup, op4_harmonic_packing, op5_topk_search, op7_ngram_join, op8_source_mix,
+        op1_paragraph_dedup, op2_quality_rules, op3_line_dedup, op4_harmonic_packing, op5_topk_search, op6_suffix_dedup, op7_ngram_join, op8_source_mix,
         op9_license_scan, op10_warc,
     )
 }
