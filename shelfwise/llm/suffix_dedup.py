@@ -218,7 +218,7 @@ def windows(texts: DataFrame) -> DataFrame:
                     first, more = packed // 256, packed % 256
                     begin = np.repeat(first - np.concatenate([[0], np.cumsum(more + 1)[:-1]]), more + 1)
                     starts = np.unique(begin + np.arange(int((more + 1).sum())))
-                    starts = starts[(starts >= base) & (starts <= base + b - a - LENGTH) & (starts < base + PART)]
+                    starts = starts[(starts >= base) & (starts <= base + b - a - LENGTH)]
                     if len(starts):
                         key = names.at(starts - base + a, LENGTH).view(np.int64)
                         zero = np.zeros(len(starts), np.int64)
