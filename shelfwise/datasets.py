@@ -17,10 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts. A table of fewer pieces than cores is small, so its texts are dealt out before they are parsed."""
-    docs = table(spark, sf_dir, "documents")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+    return table(spark, sf_dir, "documents")
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:

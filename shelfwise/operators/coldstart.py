@@ -22,7 +22,7 @@ CACHE_SIZE = 1000
 FILL_CATEGORIES = 10
 
 
-def popularity_tables(item_counts: DataFrame, ratings: DataFrame | None = None, cache: int = CACHE_SIZE, minimum: int = POPULAR_MINIMUM, sample: int | None = 100_000) -> DataFrame:
+def popularity_tables(item_counts: DataFrame, ratings: DataFrame | None = None, cache: int = CACHE_SIZE, minimum: int = POPULAR_MINIMUM, sample: int | None = None) -> DataFrame:
     """(feature, value, item_id, rank): overall list, and one per value of each attribute column ``ratings`` has."""
     popular = item_counts.where(F.col("interactions") >= minimum)
     tables = ranked_list(popular, [F.desc("interactions"), F.col("item_id")], cache).select(
@@ -77,11 +77,11 @@ def _popularity(users: DataFrame, popularity: DataFrame, n: int) -> DataFrame:
     return df.drop("_overall", *[f"_list_{c}" for c in DEMOGRAPHICS])
 
 
-def _category(users: DataFrame, by_category: DataFrame, n: int) -> DataFrame:
+def _category(users: DataFrame, by_category: DataFrame, n: int, shelves: int = FILL_CATEGORIES) -> DataFrame:
     lists = _lists(by_category, ["category"], n, "items")
     first_ten = (
         lists.orderBy("category")
-        .limit(FILL_CATEGORIES)
+        .limit(shelves)
         .agg(F.array_sort(F.collect_list(F.struct("category", "items"))))
         .scalar()
     )
@@ -145,9 +145,9 @@ def cold_start_popularity(users: DataFrame, popularity: DataFrame, n: int = 10)
     return _rows(_popularity(users, popularity, n), F.col("_popularity"))
 
 
-def cold_start_category(users: DataFrame, by_category: DataFrame, n: int = 10) -> DataFrame:
-    """Equal shares of the preferred categories, then of the first ten categories until ``n``."""
-    return _rows(_category(users, by_category, n), F.col("_category"))
+def cold_start_category(users: DataFrame, by_category: DataFrame, n: int = 10, shelves: int = FILL_CATEGORIES) -> DataFrame:
+    """Equal shares of the preferred categories, then of the first ``shelves`` categories until ``n``."""
+    return _rows(_category(users, by_category, n, shelves), F.col("_category"))
 
 
 def cold_start_diversity(users: DataFrame, clusters: DataFrame, n: int = 10) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.ml.feature import StopWordsRemover
 
-from ..scale import broadcast_if_small, dense_index, top_n
+from ..scale import dense_index, top_n
 from ..session import cut_lineage
 
 UNKNOWN = "unknown"
@@ -174,7 +175,7 @@ def tfidf_features(
         .where((F.col("df") >= min_df * F.col("n")) & (F.col("df") <= max_df * F.col("n")))
         .select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     )
-    weighted = counts.join(broadcast_if_small(vocabulary, "vocabulary"), "term").select(
+    weighted = counts.join(vocabulary, "term").select(
         key, "term", (F.col("tf") * F.col("idf")).alias("w")
     )
     # One text's terms per window.
@@ -212,22 +213,48 @@ def product_event_features(events: DataFrame, base: DataFrame | None = None) ->
     )
 
 
-def recent_products(events: DataFrame, event_type: str, n: int, out: str) -> DataFrame:
-    """Per user the last ``n`` distinct products of one kind, newest first touch first.
+def recent_products(events: DataFrame, event_type: str, n: int, out: str, base: DataFrame | None = None) -> DataFrame:
+    """Per user the last ``n`` products of one kind, newest first, going on from the lists in ``base``.
 
-    A user sends at most ``n`` rows per task into the list.
+    A product enters in front when it is not listed, and the last one falls off; a
+    product that has fallen off may come back. What is listed depends on every
+    earlier event, so a user's events are read in order as a stream: a task keeps one
+    list, never a user's events.
     """
-    first = (
-        events.where(F.col("event_type") == event_type)
-        .groupBy("user_id", "product_id")
-        .agg(F.min("event_id").alias("first"))
-    )
-    return (
-        top_n(first, ["user_id"], [F.desc("first")], n)
-        .groupBy("user_id")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "product_id"))).alias("l"))
-        .select("user_id", F.col("l.product_id").alias(out))
+    kinds = {c: events.schema[c].dataType.simpleString() for c in ("user_id", "product_id", "event_id")}
+    none = F.array().cast(f"array<{kinds['product_id']}>")
+    rows = events.where((F.col("event_type") == event_type) & F.col("product_id").isNotNull()).select(
+        "user_id", F.lit(1).alias("_part"), "event_id", "product_id", none.alias("_list")
     )
+    if base is not None:
+        held = base.select(
+            "user_id", F.lit(0).alias("_part"), F.lit(None).cast(kinds["event_id"]).alias("event_id"),
+            F.lit(None).cast(kinds["product_id"]).alias("product_id"), F.coalesce(F.col(out), none).alias("_list"),
+        )
+        rows = rows.unionByName(held)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, listed, started = None, [], False
+        types = None
+        for batch in batches:
+            types = types or (batch.schema.field("user_id").type, batch.schema.field("_list").type)
+            done = []
+            for u, part, product, items in zip(*(batch.column(c).to_pylist() for c in ("user_id", "_part", "product_id", "_list")), strict=True):
+                if not started or u != user:
+                    if started:
+                        done.append((user, listed))
+                    user, listed, started = u, [], True
+                if part == 0:
+                    listed = list(items)[:n]
+                elif product not in listed:
+                    listed = [product, *listed][:n]
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=["user_id", out])
+        if started:
+            yield pa.RecordBatch.from_arrays([pa.array([user], types[0]), pa.array([listed], types[1])], names=["user_id", out])
+
+    in_order = rows.repartition("user_id").sortWithinPartitions("user_id", "_part", "event_id")
+    return in_order.mapInArrow(follow, f"user_id {kinds['user_id']}, {out} array<{kinds['product_id']}>")
 
 
 def user_event_features(events: DataFrame, base: DataFrame | None = None, views: int = 20, purchases: int = 50) -> DataFrame:
@@ -262,21 +289,7 @@ def user_event_features(events: DataFrame, base: DataFrame | None = None, views:
         "last_active",
     )
     for kind, n, out in (("view", views, "recent_views"), ("purchase", purchases, "purchased_products")):
-        new = events
-        old_list = None
-        if base is not None:
-            # A product already listed keeps its place, so its new events count for nothing.
-            listed = base.select("user_id", F.explode(out).alias("product_id"))
-            new = events.where(F.col("event_type") == kind).join(listed, ["user_id", "product_id"], "left_anti")
-            old_list = base.select("user_id", F.col(out).alias("_old"))
-        fresh = recent_products(new, kind, n, out)
-        result = result.join(fresh, "user_id", "left")
-        if old_list is not None:
-            result = result.join(old_list, "user_id", "left")
-            merged = F.concat(F.coalesce(out, F.array()), F.coalesce("_old", F.array()))
-            result = result.withColumn(out, F.slice(merged, 1, n)).drop("_old")
-        else:
-            result = result.withColumn(out, F.coalesce(out, F.array()))
+        result = result.join(recent_products(events, kind, n, out, base), "user_id", "left").withColumn(out, F.coalesce(out, F.array()))
     return result
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scale import top_n
+from ..scale import positions, top_n
 from ..session import cut_lineage
 from .interactions import item_popularity
 
@@ -55,10 +55,9 @@ def merge_popular(event_popular: DataFrame, model_popular: DataFrame, n: int) ->
     extra = model_popular.select("item_id", F.lit(1).alias("source"), "rank").join(
         event_popular.select("item_id"), "item_id", "left_anti"
     )
-    both = first.unionByName(extra).withColumnRenamed("rank", "_place").withColumn("_all", F.lit(0))
-    # Both inputs are short ranked lists, so one group holds them.
-    ranked = top_n(both, ["_all"], [F.col("source"), F.col("_place"), F.col("item_id")], 1000)
-    return ranked.where((F.col("source") == 0) | (F.col("rank") <= 2 * n)).select("item_id", "rank")
+    both = first.unionByName(extra).withColumnRenamed("rank", "_place")
+    ranked = positions(both, [], [F.col("source"), F.col("_place"), F.col("item_id")])
+    return ranked.where((F.col("source") == 0) | (F.col("rank") <= 2 * n)).select("item_id", F.col("rank").cast("int").alias("rank"))
 
 
 def fill_from_popular(
@@ -100,11 +99,10 @@ def fill_from_popular(
     return own.withColumn("rank", F.col("rank").cast("int")).unionByName(filled).where(F.col("rank") <= n)
 
 
-def popularity_by_demographic(ratings: DataFrame, col: str, n: int = 1000, sample: int | None = 100_000) -> DataFrame:
+def popularity_by_demographic(ratings: DataFrame, col: str, n: int = 1000, sample: int | None = None) -> DataFrame:
     """(value, item_id, interactions, rank): most rated items per value of a user attribute.
 
-    ``sample`` bounds the ratings looked at, as a chosen cost limit of this
-    report; None counts all of them.
+    All ratings count; ``sample`` is for callers that ask for a report on some rows.
     """
     from .cleaning import sample_rows
 

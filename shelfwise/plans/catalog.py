@@ -862,7 +862,7 @@ def filter_candidates(spark, sf):
     found = one_model(spark, sf).select("user_id", "item_id", "score")
     return matching.filter_candidates(
         found, catalogue(spark, sf), F.col("price") < 905, ranking.top_popular(d.behaviour(spark, sf), 100), 60
-    )
+    ).select("user_id", "item_id", "rank")
 
 
 @query
@@ -964,7 +964,7 @@ def update_recommendations(spark, sf):
 
 @query
 def behaviour_recommendations(spark, sf):
-    return recommend.behaviour_recommendations(d.behaviour(spark, sf), 60)
+    return recommend.behaviour_recommendations(d.behaviour(spark, sf), 60, 60, 11)
 
 
 @query
@@ -1097,7 +1097,10 @@ def stream_user_features(spark, sf):
     path = shared_path(spark, "user-features")
     sink = jobs.Snapshots(spark, f"{path}/table")
     jobs.stream_user_features(event_stream(spark, sf), sink, f"{path}/checkpoint", None).start().awaitTermination()
-    return sink.current.select("user_id", "view_count", "purchase_count", "rating_count", "avg_rating")
+    shown = sink.current.withColumns(
+        {c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("recent_views", "purchased_products")}
+    )
+    return text_of_time(shown, "last_active")
 
 
 @query

@@ -443,10 +443,13 @@ oracle("product_event_features", "ev", _PRODUCT_EVENTS)
 
 
 def _recent(kind: str, n: int) -> str:
-    return f"""(SELECT user_id, string_agg(CAST(product_id AS VARCHAR), ',' ORDER BY first DESC) AS l FROM
-        (SELECT user_id, product_id, min(event_id) AS first,
-            row_number() OVER (PARTITION BY user_id ORDER BY min(event_id) DESC) AS k
-         FROM ev WHERE event_type = '{kind}' GROUP BY 1, 2) WHERE k <= {n} GROUP BY 1)"""
+    """Lists event by event: a product that is not listed enters in front, the last one falls off."""
+    return f"""(WITH RECURSIVE e AS (SELECT user_id, product_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k
+            FROM ev WHERE event_type = '{kind}'),
+        l AS (SELECT DISTINCT user_id, 0::BIGINT AS k, CAST([] AS BIGINT[]) AS items FROM e
+            UNION ALL SELECT l.user_id, e.k, CASE WHEN list_contains(items, product_id) THEN items ELSE list_slice(list_prepend(product_id, items), 1, {n}) END
+            FROM l JOIN e ON e.user_id = l.user_id AND e.k = l.k + 1)
+        SELECT user_id, array_to_string(items, ',') AS l FROM l QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1)"""
 
 
 oracle("user_event_features", "ev", f"""
@@ -627,10 +630,11 @@ oracle("generate_candidates", "usr vec", f"""
 oracle("filter_candidates", "lg cat pop", """
     WITH kept AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank
             FROM lg WHERE item_id IN (SELECT item_id FROM cat WHERE price < 905)),
-        own AS (SELECT * FROM kept WHERE rank <= 60),
+        own AS (SELECT * FROM kept),
         more AS (SELECT u.user_id, p.item_id, row_number() OVER (PARTITION BY u.user_id ORDER BY p.rank) AS k,
                 (SELECT count(*) FROM own o WHERE o.user_id = u.user_id) AS n
             FROM (SELECT DISTINCT user_id FROM lg) u, pop p WHERE p.rank <= 100
+                AND p.item_id IN (SELECT item_id FROM cat WHERE price < 905)
                 AND NOT EXISTS (SELECT 1 FROM own o WHERE o.user_id = u.user_id AND o.item_id = p.item_id))
     SELECT user_id, item_id, CAST(rank AS INTEGER) AS rank FROM own
     UNION ALL SELECT user_id, item_id, CAST(n + k AS INTEGER) FROM more WHERE n + k <= 60""")
@@ -729,8 +733,8 @@ _POP_OF_E = """SELECT product_id AS item_id, row_number() OVER (ORDER BY count(*
 oracle("update_recommendations", "ev", _update("SELECT * FROM ev", _POP_OF_E))
 ORACLES["stream_update_recommendations"] = ORACLES["update_recommendations"]
 oracle("behaviour_recommendations", "ev", _update("""SELECT * FROM ev
-    WHERE user_id IN (SELECT user_id FROM ev GROUP BY 1 HAVING count(*) >= 5)
-        AND product_id IN (SELECT product_id FROM ev GROUP BY 1 HAVING count(*) >= 5)""", _POP_OF_E))
+    WHERE user_id IN (SELECT user_id FROM ev GROUP BY 1 HAVING count(*) >= 60)
+        AND product_id IN (SELECT product_id FROM ev GROUP BY 1 HAVING count(*) >= 11)""", _POP_OF_E))
 oracle("recs_snapshot", "snap", f"""
     SELECT user_id, model, context, product_id, strftime(expires_at, {TS}) AS expires_at FROM snap
     WHERE expires_at > TIMESTAMP '2024-01-15 12:00:00'""")
@@ -797,7 +801,7 @@ oracle("drift_detect", "ev", f"""
     for k in _KINDS) + f""") / 4 AS drift_score)
     SELECT total, {r('drift_score')} AS drift_score, drift_score > 0.02 AS alert FROM d""")
 oracle("stream_product_features", "ev", _PRODUCT_EVENTS)
-oracle("stream_user_features", "ev", f"SELECT user_id, {_EVENT_COUNTS} FROM ev GROUP BY 1")
+ORACLES["stream_user_features"] = ORACLES["user_event_features"]
 oracle("stream_rank_and_ensemble", "lst", f"""
     WITH {_ENS.format(f='2 * ')}, d AS (SELECT user_id, item_id, {_PEN} AS score FROM ek)
     SELECT user_id, item_id, {r('score', 12)} AS score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM d""")

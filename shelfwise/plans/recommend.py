@@ -14,18 +14,18 @@ def update_recommendations(
     events: DataFrame,
     popular: DataFrame | None = None,
     n: int = 100,
-    max_seen: int = 1000,
+    max_seen: int | None = None,
     related: DataFrame | None = None,
 ) -> DataFrame:
     """(user_id, item_id, rank, score, activity_level) for every user of the events.
 
     Items related to what the user touched, best sum first, then popular ones.
-    A user with more than ``max_seen`` products is taken for a bot and gets no
+    With ``max_seen`` a user with more products is taken for a bot and gets no
     list, but still counts in the item relation.
     """
     seen = cut_lineage(interactions.seen_products(events), "seen")
     sizes = seen.groupBy("user_id").agg(F.count("*").alias("products"))
-    targets = sizes.where(F.col("products") <= max_seen)
+    targets = sizes if max_seen is None else sizes.where(F.col("products") <= max_seen)
     history = seen.join(targets.select("user_id"), "user_id", "left_semi")
     if related is None:
         related = cut_lineage(interactions.cooccurrence_feedback(events), "related")
@@ -45,16 +45,5 @@ def update_recommendations(
 def behaviour_recommendations(events: DataFrame, n: int = 100, min_user: int = 5, min_product: int = 5) -> DataFrame:
     """The whole way from raw events to lists, over sufficiently active users and products."""
     active = cut_lineage(cleaning.filter_min_activity(events, min_user, min_product), "active")
-    return update_recommendations(active, ranking.top_popular(events, n), n)
+    return update_recommendations(active, ranking.top_popular(active, n), n)
 
-
-def staged_recommendations(
-    users: DataFrame, user_factors: DataFrame, item_factors: DataFrame, scorer, weights, limit: int = 100
-) -> DataFrame:
-    """Candidates by vector, re-scored, combined over models and spread out."""
-    from ..operators.ensemble import diversity_penalty, ensemble_weighted_rank
-    from ..operators.matching import generate_candidates, rank_candidates
-
-    candidates = generate_candidates(users, user_factors, item_factors, limit=limit)
-    ranked = rank_candidates(candidates, scorer)
-    return diversity_penalty(ensemble_weighted_rank(ranked, weights))

@@ -14,20 +14,20 @@ from pyspark.sql import functions as F
 
 from .session import cut_lineage
 
-DEFAULT_CHUNKS = 1024
-BROADCAST_ROWS = 1_000_000
-SINGLE_TASK_ROWS = 100_000
-WINDOW_ROWS = 1_000_000
+CHUNK_ROWS = 100_000
+MOST_CHUNKS = 1 << 16
 
 
-def with_chunk(df: DataFrame, order: Sequence[Column], out: str, chunks: int = DEFAULT_CHUNKS) -> DataFrame:
+def with_chunk(df: DataFrame, order: Sequence[Column], out: str, chunks: int) -> DataFrame:
     """Add the number of the order chunk each row falls in, ascending with ``order``.
 
-    Cut points are the ``chunks - 1`` order values with the smallest hash, a
-    repeatable uniform sample that fits in one row whatever the input size.
-    Each row finds its chunk by halving.
+    Cut points are the order values with the smallest hash, a repeatable uniform
+    sample; ``chunks`` bounds their number. Each row finds its chunk by halving; one
+    chunk needs no halving.
     """
-    depth = max(1, (chunks - 1).bit_length())
+    depth = (chunks - 1).bit_length()
+    if depth == 0:
+        return df.withColumn(out, F.lit(0))
     value = order[0] if len(order) == 1 else F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     cuts = (
         df.select(value.alias("v"))
@@ -50,31 +50,39 @@ def running_sum(
     order: Sequence[Column],
     value: Column,
     out: str,
-    chunks: int = DEFAULT_CHUNKS,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over this and all earlier rows of the key.
 
-    ``order`` sorts ascending and must be unique within a key; keys must not be
-    null. The rows are written first, so the input is computed once and its size
-    is known. Up to ``WINDOW_ROWS`` rows one plain window does. Beyond that no
-    task sees more than one chunk of a key, the totals ordered per key are at most
-    ``chunks`` rows, and the window and the join share one partitioning.
+    ``order`` sorts ascending and must be unique within a key; a null key is a key.
+    The rows are written first, so the input is computed once, and their number
+    sets the number of chunks: a task sees no more than about ``CHUNK_ROWS`` rows of
+    a key. The totals ordered per key are one row per chunk.
     """
     stored = cut_lineage(df.withColumn("_value", value), "rows")
-    if stored.count() <= WINDOW_ROWS:
-        window = W.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        return stored.withColumn(out, F.sum("_value").over(window)).drop("_value")
-    staged = with_chunk(stored, order, "_chunk", chunks)
+    if chunks is None:
+        chunks = min(MOST_CHUNKS, -(-stored.count() // CHUNK_ROWS))
+    staged = with_chunk(stored, order, "_chunk", max(1, chunks))
+    within = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    inner = staged.withColumn("_within", F.sum("_value").over(within))
+    if chunks <= 1:
+        # Nothing comes before the only chunk.
+        return inner.withColumn(out, F.col("_within")).drop("_value", "_chunk", "_within")
     totals = staged.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_total"))
     by_key = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     before = by_key.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_chunk", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
-    within = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    offsets = totals.select(
+        *[F.col(k).alias(v) for k, v in names.items()], F.col("_chunk").alias("_of"),
+        F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"),
+    )
+    same = F.col("_chunk") == F.col("_of")
+    for k, v in names.items():
+        same &= F.col(k).eqNullSafe(F.col(v))
     return (
-        staged.withColumn("_within", F.sum("_value").over(within))
-        .join(offsets, [*keys, "_chunk"])
+        inner.join(offsets, same)
         .withColumn(out, F.col("_within") + F.col("_before"))
-        .drop("_value", "_chunk", "_within", "_before")
+        .drop("_value", "_chunk", "_within", "_before", "_of", *names.values())
     )
 
 
@@ -104,20 +112,8 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, o
 
 
 def first_rows(df: DataFrame, order: Sequence[Column], n: int, skip: int = 0) -> DataFrame:
-    """Rows ``skip + 1`` .. ``skip + n`` by ``order``, which must ascend and be unique.
-
-    Short lists are merged in one task; long ones are numbered chunk by chunk.
-    """
-    if skip + n <= SINGLE_TASK_ROWS:
-        return df.orderBy(*order).offset(skip).limit(n)
-    numbered = positions(df, [], order, "_position")
-    return numbered.where((F.col("_position") > skip) & (F.col("_position") <= skip + n)).drop("_position")
-
-
-def broadcast_if_small(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table, written and counted; marked for broadcast if it has at most ``rows`` rows."""
-    stored = cut_lineage(df, name)
-    return F.broadcast(stored) if stored.limit(rows + 1).count() <= rows else stored
+    """Rows ``skip + 1`` .. ``skip + n`` by ``order``, in that order."""
+    return df.orderBy(*order).offset(skip).limit(n)
 
 
 def pairs_within(df: DataFrame, key: str, item: str, carry: Sequence[str], block: int = 1024) -> DataFrame:

@@ -1,30 +1,4 @@
-"""Column types of the relational tables and of the JSON messages, as DDL text."""
-
-USERS = ("user_id STRING, username STRING, email STRING, join_date TIMESTAMP, last_active TIMESTAMP")
-PRODUCTS = (
-    "product_id STRING, title STRING, description STRING, price DECIMAL(10,2), category STRING, "
-    "subcategory STRING, created_at TIMESTAMP, updated_at TIMESTAMP"
-)
-REVIEWS = (
-    "review_id INT, user_id STRING, product_id STRING, rating INT, review_text STRING, summary STRING, "
-    "verified_purchase BOOLEAN, review_date TIMESTAMP, votes INT"
-)
-EVENTS = (
-    "event_id INT, user_id STRING, product_id STRING, event_type STRING, event_timestamp TIMESTAMP, "
-    "session_id STRING, metadata STRING"
-)
-RECOMMENDATIONS = (
-    "recommendation_id INT, user_id STRING, product_id STRING, score DECIMAL(10,6), model_version STRING, "
-    "created_at TIMESTAMP, served_at TIMESTAMP, clicked BOOLEAN, purchased BOOLEAN"
-)
-MODEL_VERSIONS = (
-    "model_version_id INT, model_name STRING, model_version STRING, artifact_path STRING, training_time DOUBLE, "
-    "model_parameters STRING, metrics STRING, is_production BOOLEAN, created_at TIMESTAMP"
-)
-EXPERIMENTS = (
-    "experiment_id INT, name STRING, description STRING, start_date TIMESTAMP, end_date TIMESTAMP, status STRING, "
-    "control_model_version_id INT, treatment_model_version_id INT, metrics STRING, results STRING"
-)
+"""Column types of the JSON messages, as DDL text."""
 
 # Stream messages by kind. ``timestamp`` is text: producers send epoch milliseconds or ISO time.
 MESSAGES = {

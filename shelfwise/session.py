@@ -22,6 +22,10 @@ RUNTIME_CONF = {
 }
 
 
+# Folders of local sessions that name none; the setting itself cannot be changed at run time.
+_local_dirs: dict[str, str] = {}
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
     for key, value in RUNTIME_CONF.items():
@@ -52,9 +56,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="shelfwise-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_dirs:
+        _local_dirs[app] = tempfile.mkdtemp(prefix="shelfwise-")
+    return _local_dirs[app]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -13,13 +13,16 @@ from ..scale import first_rows
 
 
 def read_reviews(
-    spark: SparkSession, path: str, nrows: int | None = None, schema: T.StructType | None = None
+    spark: SparkSession, path: str, nrows: int | None = None, schema: T.StructType | str | None = None, multi_line: bool = False
 ) -> DataFrame:
-    """Read a CSV, JSON-lines or Parquet file, chosen by suffix; ``nrows`` is the caller's row cap."""
+    """Read a CSV, JSON-lines or Parquet file, chosen by suffix; ``nrows`` is the caller's row cap.
+
+    ``multi_line`` is for CSV fields with line breaks; each file is then one task.
+    """
     suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
     reader = spark.read if schema is None else spark.read.schema(schema)
     if suffix == "csv":
-        df = reader.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        df = reader.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
     elif suffix in ("json", "jsonl"):
         df = reader.json(path)
     elif suffix == "parquet":
@@ -116,10 +119,12 @@ def sharded_write(df: DataFrame, path: str, n: int = 4, col: str = "user_id") ->
 def sharded_lookup(spark: SparkSession, path: str, users: DataFrame, n: int = 4, col: str = "user_id") -> DataFrame:
     """Rows of the given users.
 
-    The join carries the shard, so only the folders of the users' shards are read.
+    The users' shard numbers, at most ``n``, are read first and become a filter on
+    the folders, so that the other shards are not opened.
     """
     wanted = users.select(col).distinct().withColumn("shard", shard_id(F.col(col), n))
-    return spark.read.parquet(path).join(wanted, ["shard", col], "left_semi")
+    shards = [r[0] for r in wanted.select("shard").distinct().where("shard is not null").limit(n).collect()]
+    return spark.read.parquet(path).where(F.col("shard").isin(shards)).join(wanted, ["shard", col], "left_semi")
 
 
 def map_shards(df: DataFrame, fn: Callable[[DataFrame], DataFrame], n: int = 4, col: str = "user_id") -> DataFrame:

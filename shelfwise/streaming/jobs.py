@@ -2,8 +2,8 @@
 
 Counting jobs keep their totals as Spark state and overwrite the touched keys;
 jobs whose result depends on all events so far append to a history table and
-run the batch operator on it in ``foreachBatch``. Replayed batches are harmless:
-history is deduplicated on ``event_id`` and results replace older ones.
+run the batch operator on it in ``foreachBatch``. A replayed batch gives its version
+again, and history is deduplicated on ``event_id``.
 """
 
 from __future__ import annotations
@@ -146,29 +146,52 @@ def stream_product_features(events: DataFrame) -> DataFrame:
 
 
 class Snapshots:
-    """Numbered versions of a table below one folder; the newest complete one counts."""
+    """Numbered versions of a table below one folder.
+
+    The folder is the state: a new object finds the complete versions that an
+    earlier one wrote, so a job goes on after a restart. Version k builds on the
+    newest complete version below k, so a batch that runs again gives the same
+    version again.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        self.current: DataFrame | None = None
+
+    def versions(self) -> list[int]:
+        """Numbers of the complete versions, ascending."""
+        jvm = self.spark._jvm
+        marks = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/_SUCCESS")
+        found = marks.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(marks)
+        return sorted(int(f.getPath().getParent().getName()[1:]) for f in found or [])
+
+    def before(self, version: int) -> DataFrame | None:
+        """The table that this version builds on."""
+        older = [v for v in self.versions() if v < version]
+        return self.spark.read.parquet(f"{self.path}/v{older[-1]}") if older else None
+
+    @property
+    def current(self) -> DataFrame | None:
+        """The newest complete version."""
+        found = self.versions()
+        return self.spark.read.parquet(f"{self.path}/v{found[-1]}") if found else None
 
     def replace(self, df: DataFrame, version: int) -> DataFrame:
-        """Write the version (again, if a batch is replayed) and make it current."""
+        """Write the version, again if its batch is replayed."""
         target = f"{self.path}/v{version}"
         df.write.mode("overwrite").parquet(target)
-        self.current = self.spark.read.schema(df.schema).parquet(target)
-        return self.current
+        return self.spark.read.schema(df.schema).parquet(target)
 
 
 class History:
-    """All events so far, one folder per batch; a replayed batch replaces its folder."""
+    """All events so far, one folder per batch; each event counts once, whichever batches brought it."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, key: str = "event_id"):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
 
     def add(self, batch: DataFrame, batch_id: int) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
-        return self.spark.read.parquet(self.path).where(F.col("batch") <= batch_id).drop("batch")
+        rows = self.spark.read.parquet(self.path).where(F.col("batch") <= batch_id).drop("batch")
+        return rows.dropDuplicates([self.key]) if self.key in rows.columns else rows
 
 
 def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, every: str | None):
@@ -180,7 +203,7 @@ def stream_user_features(events: DataFrame, sink: Snapshots, checkpoint: str, ev
     """Writer that merges each batch into the user feature table: counts add up, lists continue."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        sink.replace(features.user_event_features(batch, sink.current), batch_id)
+        sink.replace(features.user_event_features(batch, sink.before(batch_id)), batch_id)
 
     return _run(events, each, checkpoint, every)
 
@@ -232,17 +255,21 @@ def stream_feedback_weights(
     feedback: DataFrame, recs: DataFrame, weights: dict[str, float], models: Snapshots, users: Snapshots, checkpoint: str,
     history: History, min_feedback: int = 100, every: str | None = "10 seconds",
 ):
-    """Writer: global weights move once per batch over all feedback so far, user weights step through the batch."""
+    """Writer: global weights move once per batch over all feedback so far, user weights step through the batch.
+
+    How far the global weights move thus depends on the trigger; each version is kept.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         everything = attribute_feedback(history.add(batch, batch_id), recs)
         before = dict(weights)
-        if models.current is not None:
-            before |= {r["model"]: r["weight"] for r in models.current.select("model", "weight").collect()}
+        if (held := models.before(batch_id)) is not None:
+            before |= {r["model"]: r["weight"] for r in held.select("model", "weight").collect()}
         models.replace(model_success_weights(everything, before, min_feedback), batch_id)
-        stepped = user_model_weights(attribute_feedback(batch, recs), before, users.current)
-        if users.current is not None:
-            kept = users.current.join(stepped.select("user_id", "model"), ["user_id", "model"], "left_anti")
+        own = users.before(batch_id)
+        stepped = user_model_weights(attribute_feedback(batch, recs), before, own)
+        if own is not None:
+            kept = own.join(stepped.select("user_id", "model"), ["user_id", "model"], "left_anti")
             stepped = stepped.unionByName(kept)
         users.replace(stepped, batch_id)
 

@@ -22,7 +22,7 @@ def sf():
 
 @pytest.fixture(params=["window", "chunks"])
 def running(request, monkeypatch):
-    """Run a test with plain windows and with chunks, whatever the size."""
+    """Run a test with one chunk and with many."""
     if request.param == "chunks":
-        monkeypatch.setattr(scale, "WINDOW_ROWS", 0)
+        monkeypatch.setattr(scale, "CHUNK_ROWS", 9)
     return request.param

@@ -1,9 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfwise.operators import interactions, ranking
-from shelfwise.plans.recommend import update_recommendations
+from shelfwise.plans.recommend import behaviour_recommendations, update_recommendations
 
 
 def events(n=150, users=4, products=9, seed=2):
@@ -151,3 +152,36 @@ def test_merge_popular_keeps_order_and_bound(spark):
     b = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (5, 4)], "item_id INT, rank INT")
     out = ranking.merge_popular(a, b, 2).orderBy("rank").collect()
     assert [r["item_id"] for r in out] == [1, 2, 3, 4]
+
+
+def test_merge_popular_keeps_every_event_item(spark):
+    a = spark.range(1500).selectExpr("cast(id as int) as item_id", "cast(id + 1 as int) as rank")
+    b = spark.range(3000).selectExpr("cast(id + 5000 as int) as item_id", "cast(id + 1 as int) as rank")
+    out = ranking.merge_popular(a, b, 1500)
+    assert out.count() == 3000 and out.agg(F.max("rank")).first()[0] == 3000
+    assert ranking.merge_popular(a, b, 10).count() == 1500
+
+
+def test_filter_keeps_all_and_fills_with_fitting_items(spark):
+    from shelfwise.operators import matching
+
+    rows = [(1, i, 1.0 / i, "s", "m") for i in range(1, 9)] + [(2, 100, 1.0, "s", "m")]
+    found = spark.createDataFrame(rows, "user_id INT, item_id INT, score DOUBLE, stage STRING, model STRING")
+    items = spark.createDataFrame([(i, i < 50) for i in [*range(1, 9), 20, 21, 60, 100]], "item_id INT, ok BOOLEAN")
+    popular = spark.createDataFrame([(60, 1), (20, 2), (21, 3)], "item_id INT, rank INT")
+    out = matching.filter_candidates(found, items, F.col("ok"), popular, minimum=3).orderBy("user_id", "rank").collect()
+    assert [(r.user_id, r.item_id) for r in out] == [(1, i) for i in range(1, 9)] + [(2, 20), (2, 21)]
+    assert out[0].score == 1.0 and out[0].model == "m" and out[-1].score is None
+    cut = matching.filter_candidates(found, items, F.col("ok"), popular, 3, limit=4)
+    assert cut.where("user_id = 1").count() == 4
+
+
+def test_behaviour_lists_hold_active_products_only(spark, sf):
+    from shelfwise import datasets
+    from shelfwise.operators import cleaning
+
+    events = datasets.behaviour(spark, sf)
+    active = cleaning.filter_min_activity(events, 60, 11)
+    out = behaviour_recommendations(events, 20, 60, 11)
+    left = out.join(active.select("product_id").distinct(), F.col("item_id") == F.col("product_id"), "left_anti")
+    assert out.count() > 0 and left.count() == 0

@@ -115,9 +115,12 @@ def test_factor_models_reproduce_a_simple_taste(spark):
 def test_clusters_hold_their_nearest_items(spark):
     rows = [(i, [float(i // 10) * 100, float(i % 10)]) for i in range(30)]
     df = spark.createDataFrame(rows, "item_id INT, features ARRAY<DOUBLE>")
-    out = factors.item_clusters(df, max_items=15).collect()
+    out = factors.item_clusters(df, clusters=3).collect()
     assert {r["cluster"] for r in out} <= {0, 1, 2}
-    assert all(r["rank"] <= 5 for r in out)
+    assert sorted(r["item_id"] for r in out) == list(range(30))
+    for c in {r["cluster"] for r in out}:
+        own = sorted((r["rank"], r["distance"]) for r in out if r["cluster"] == c)
+        assert [k for k, _ in own] == list(range(1, len(own) + 1)) and [d for _, d in own] == sorted(d for _, d in own)
 
 
 def test_unknown_users_get_the_mean_vector(spark):

@@ -14,9 +14,8 @@ def hot_rows(n=400, keys=6, seed=1):
     return [(0 if i % 2 else rnd.randrange(keys), i, rnd.randrange(10)) for i in range(n)]
 
 
-@pytest.mark.parametrize("chunks", [2, 16, 1024])
-def test_running_sum_with_hot_key(spark, chunks, monkeypatch):
-    monkeypatch.setattr(scale, "WINDOW_ROWS", 0)
+@pytest.mark.parametrize("chunks", [1, 2, 16, 1024])
+def test_running_sum_with_hot_key(spark, chunks):
     rows = hot_rows()
     df = spark.createDataFrame(rows, "k INT, seq INT, v INT")
     got = {
@@ -124,22 +123,18 @@ def test_weight_fold_equals_the_loop(spark, running, monkeypatch):
     assert got == pytest.approx(want)
 
 
-def test_long_lists_are_numbered_instead_of_merged(spark, monkeypatch):
+def test_null_keys_are_keys(spark, running):
+    rows = [(None if i % 3 else 1, i, 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "k INT, seq INT, v INT")
+    got = sorted(r["s"] for r in scale.running_sum(df, ["k"], [F.col("seq")], F.col("v"), "s").where("k is null").collect())
+    assert got == list(range(1, 27))
+
+
+def test_samples_and_pages(spark, running):
     from shelfwise.operators import cleaning
 
     df = spark.createDataFrame([(i % 40,) for i in range(100)], "k INT")
-    short = sorted(r[0] for r in cleaning.sample_rows(df, 30).collect())
-    page = [r[0] for r in scale.first_rows(df.distinct(), [F.col("k")], 5, 10).orderBy("k").collect()]
-    monkeypatch.setattr(scale, "SINGLE_TASK_ROWS", 3)
-    monkeypatch.setattr(cleaning, "SINGLE_TASK_ROWS", 3)
-    assert sorted(r[0] for r in cleaning.sample_rows(df, 30).collect()) == short
-    assert [r[0] for r in scale.first_rows(df.distinct(), [F.col("k")], 5, 10).orderBy("k").collect()] == page
-    assert page == [10, 11, 12, 13, 14]
+    first = sorted(r[0] for r in cleaning.sample_rows(df, 30).collect())
+    assert len(first) == 30 and first == sorted(r[0] for r in cleaning.sample_rows(df.repartition(5), 30).collect())
+    assert [r[0] for r in scale.first_rows(df.distinct(), [F.col("k")], 5, 10).collect()] == [10, 11, 12, 13, 14]
     assert cleaning.sample_rows(df, 500).count() == 100
-
-
-def test_small_tables_are_broadcast_and_large_ones_not(spark):
-    df = spark.range(50)
-    small = scale.broadcast_if_small(df, "t")._jdf.queryExecution().toString()
-    large = scale.broadcast_if_small(df, "t", rows=10)._jdf.queryExecution().toString()
-    assert "broadcast" in small.lower() and "broadcast" not in large.lower()

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from shelfwise.functions import scalars
 from shelfwise.operators import cleaning, coldstart, ensemble, features, quality, store
 from shelfwise.sources import files, messages
-from shelfwise.sources.sample import sample_dataset
 
 NOW = "2024-02-01 00:00:00"
 
@@ -129,20 +128,37 @@ def test_unseen_labels_are_unknown(spark):
     assert [r["c_encoded"] for r in features.label_encode(fit, df, ["c"]).orderBy("c").collect()] == [2, 0, 2, 3]
 
 
+EVENTS = "event_id INT, user_id INT, product_id INT, event_type STRING, rating DOUBLE, ts TIMESTAMP"
+
+
 def test_features_continue_from_a_base(spark):
-    schema = "event_id INT, user_id INT, product_id INT, event_type STRING, rating DOUBLE, ts TIMESTAMP"
     rows = [(i, 1, i % 5, ("view", "purchase", "rating")[i % 3], float(i % 5 + 1), None) for i in range(30)]
-    df = spark.createDataFrame(rows, schema)
+    df = spark.createDataFrame(rows, EVENTS)
     early, late = df.where("event_id < 13"), df.where("event_id >= 13")
     whole = features.user_event_features(df, views=3).first()
-    step = features.user_event_features(late, features.user_event_features(early, views=30), views=30).first()
+    step = features.user_event_features(late, features.user_event_features(early, views=3), views=3).first()
     assert (whole["view_count"], whole["avg_rating"]) == (step["view_count"], pytest.approx(step["avg_rating"]))
-    assert whole["recent_views"] == step["recent_views"][:3]
+    assert whole["recent_views"] == step["recent_views"]
     p = {r["product_id"]: r for r in features.product_event_features(late, features.product_event_features(early)).collect()}
     q = {r["product_id"]: r for r in features.product_event_features(df).collect()}
     assert {k: r["popularity"] for k, r in p.items()} == pytest.approx({k: r["popularity"] for k, r in q.items()})
 
 
+@pytest.mark.parametrize("cut", [0, 2, 3, 17])
+def test_products_return_after_they_fell_off(spark, cut):
+    views = {1: [1, 2, 3, 1], 2: [5, 5, 6, 5, 7, 6, 5, 8, 5], None: [1, 4, 2, 1, 1]}
+    rows = [(i * 3 + k, u, p, "view", None, None) for k, (u, l) in enumerate(views.items()) for i, p in enumerate(l)]
+    want = {}
+    for u, seen in views.items():
+        for p in seen:
+            if p not in want.setdefault(u, []):
+                want[u] = [p, *want[u]][:2]
+    df = spark.createDataFrame(rows, EVENTS)
+    base = features.user_event_features(df.where(F.col("event_id") < cut), views=2) if cut else None
+    out = features.user_event_features(df.where(F.col("event_id") >= cut), base, views=2).where("user_id is not null").collect()
+    assert want[1] == [1, 3] and {r["user_id"]: r["recent_views"] for r in out} == {u: l for u, l in want.items() if u}
+
+
 def test_messages(spark):
     raw = spark.createDataFrame(
         [(json.dumps({"user_id": "u", "product_id": "p", "event_type": "view", "timestamp": t}),)
@@ -215,13 +231,3 @@ def test_cold_start_chain(spark):
 def test_flat_scores_count_half(spark):
     scores = spark.createDataFrame([(1, 5, "mf", 2.0), (1, 6, "mf", 2.0)], "user_id INT, item_id INT, model STRING, score DOUBLE")
     assert [r["score"] for r in ensemble.ensemble_minmax(scores).collect()] == pytest.approx([0.1, 0.1])
-
-
-def test_sample_dataset(spark):
-    tables = sample_dataset(spark, 20, 30, 200, 300)
-    assert tables["users"].count() == 20 and tables["products"].count() == 30 and tables["events"].count() == 300
-    reviews = tables["reviews"]
-    assert reviews.count() == reviews.select("user_id", "product_id").distinct().count() <= 200
-    assert reviews.where("rating < 1 or rating > 5").count() == 0
-    again = sample_dataset(spark, 20, 30, 200, 300)["events"]
-    assert tables["events"].exceptAll(again).count() == 0

@@ -53,6 +53,29 @@ def test_user_features_over_several_batches(spark, sf, tmp_path):
     assert got == {r["user_id"]: (r["view_count"], r["rating_count"], r["last_active"]) for r in want}
 
 
+def test_user_features_survive_restart_and_replay(spark, tmp_path):
+    schema = "event_id INT, user_id INT, product_id INT, event_type STRING, rating DOUBLE, ts TIMESTAMP"
+    path, table, checkpoint = (str(tmp_path / x) for x in ("in", "table", "cp"))
+    for start in (0, 2):
+        rows = spark.createDataFrame([(start + i, 1, 10 + start + i, "view", None, None) for i in range(2)], schema)
+        rows.coalesce(1).write.mode("append").parquet(path)
+        source = spark.readStream.schema(schema).parquet(path)
+        jobs.stream_user_features(source, jobs.Snapshots(spark, table), checkpoint, None).start().awaitTermination()
+    sink = jobs.Snapshots(spark, table)
+    assert sink.current.first()["view_count"] == 4 and sink.current.first()["recent_views"] == [13, 12, 11, 10]
+    again = spark.read.parquet(path).where("event_id >= 2")
+    last = sink.versions()[-1]
+    sink.replace(features.user_event_features(again, sink.before(last)), last)
+    assert jobs.Snapshots(spark, table).current.first()["view_count"] == 4
+
+
+def test_history_counts_an_event_once(spark, tmp_path):
+    history = jobs.History(spark, str(tmp_path / "history"))
+    rows = spark.range(4).withColumnRenamed("id", "event_id")
+    history.add(rows, 0)
+    assert history.add(rows, 1).count() == 4 and history.add(spark.range(9).withColumnRenamed("id", "event_id"), 2).count() == 9
+
+
 def test_feedback_log_keeps_complete_rows(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     rows = [("u", "i", "click", 1.0), ("u", None, "click", 2.0)]
