@@ -13,7 +13,7 @@ NOW = "2024-02-01 00:00:00"
 def test_read_reviews_by_suffix(spark, tmp_path):
     (tmp_path / "r.csv").write_text('asin,overall,reviewText\np1,5,"two\nlines"\np2,x,\n')
     (tmp_path / "r.json").write_text('{"asin": "p1", "overall": 4}\n{"asin": "p2", "overall": 2}\n')
-    assert files.read_reviews(spark, str(tmp_path / "r.csv")).count() == 2
+    assert files.read_reviews(spark, str(tmp_path / "r.csv"), multi_line=True).count() == 2
     assert files.read_reviews(spark, str(tmp_path / "r.json"), nrows=1).count() == 1
     with pytest.raises(ValueError):
         files.read_reviews(spark, str(tmp_path / "r.xlsx"))
