@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 
 CAPACITY = 4096
 END_ID = 2
-KNOWN_TOKENS = 200_000
+KNOWN_TOKENS = 1_000_000
 BATCH_TEXTS = 256
 
 # The vocabulary's word rule on lower-case Latin-1 text.
@@ -46,9 +47,9 @@ class Encoder(dict):
     """Ids of texts as little-endian 32-bit bytes.
 
     The vocabulary drops white space and never joins two words, so texts of Latin-1
-    characters are split by its rule and each word is looked up; a word is encoded
-    when it is new. Other words go to the tokenizer whole. The number of remembered
-    words is bounded; forgetting changes nothing but the time.
+    characters are split by its rule and each word is looked up; the new words of a
+    batch are encoded together. Other words go to the tokenizer whole. The number of
+    remembered words is bounded; forgetting changes nothing but the time.
     """
 
     def __init__(self, path: str, known: int = KNOWN_TOKENS):
@@ -57,27 +58,24 @@ class Encoder(dict):
         super().__init__()
         self.tokenizer, self.known = Tokenizer.from_file(path), known
 
-    def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.known:
-            self.clear()
-        self[word] = ids = self.whole(word)
-        return ids
-
-    def ids(self, text: str) -> bytes:
+    def words(self, text: str) -> list[str]:
+        """Strings that can be encoded one by one."""
         if any(m in text for m in _MARKS):
-            return self.whole(text)
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return b"".join(self.word(w) for w in text.split())
-        return b"".join(map(self.__getitem__, _TOKEN.findall(text.lower())))
-
-    def word(self, word: str) -> bytes:
-        return b"".join(map(self.__getitem__, _TOKEN.findall(word.lower()))) if max(word) < "Ā" else self[word]
+            return [text]
+        if text.isascii() or max(text) < "Ā":
+            return _TOKEN.findall(text.lower())
+        return [x for w in text.split() for x in (_TOKEN.findall(w.lower()) if max(w) < "Ā" else [w])]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        found = [self.words(t) for t in texts]
+        new = set().union(*found) - self.keys()
+        if len(self) + len(new) > self.known:
+            self.clear()
+            new = set().union(*found)
+        new = list(new)
+        for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            self[word] = array("I", e.ids).tobytes()
+        return [b"".join(map(self.__getitem__, w)) for w in found]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -164,8 +162,9 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, wit
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, batch.num_rows, BATCH_TEXTS):
                 rows = []
-                for doc_id, text in zip(ids[at : at + BATCH_TEXTS], texts.slice(at, BATCH_TEXTS).to_pylist(), strict=True):
-                    data = encode.ids(text or "") + END_ID.to_bytes(4, "little")
+                held = [t or "" for t in texts.slice(at, BATCH_TEXTS).to_pylist()]
+                for doc_id, data in zip(ids[at : at + BATCH_TEXTS], encode.ids(held), strict=True):
+                    data += END_ID.to_bytes(4, "little")
                     n, start = len(data) // 4, 0
                     for length in cuts(n, capacity):
                         part = data[4 * start : 4 * (start + length)]
