@@ -37,8 +37,14 @@ def missing_values(df: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
-    """Rows beyond the first of each group of equal rows, and their percentage."""
-    groups = df.groupBy(*(subset or df.columns)).agg(F.count("*").alias("n"))
+    """Rows beyond the first of each group of equal rows, and their percentage.
+
+    Rows are grouped by 128 bits of hash, so that long texts stay where they are.
+    """
+    columns = [F.col(c) for c in (subset or df.columns)]
+    # The hash skips nulls, so their places are hashed too.
+    parts = [*columns, *[c.isNull() for c in columns]]
+    groups = df.groupBy(F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)).agg(F.count("*").alias("n"))
     return groups.agg(
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_count"),
         _percent(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)), F.sum("n")).alias("duplicate_percentage"),

@@ -111,7 +111,10 @@ def behaviour_window(events: DataFrame, as_of: str, minutes: int = 30) -> DataFr
     """
     upto = events.where(F.col("ts") <= F.lit(as_of).cast("timestamp"))
     start = F.timestamp_micros(F.unix_micros(F.lit(as_of).cast("timestamp")) - minutes * 60_000_000)
-    active = session_stats(upto, minutes).where(F.col("last_time") >= start)
+    # Only sessions seen inside the window can be active, so the history of the others is left out first.
+    seen = upto.where(F.col("ts") >= start).select(F.col("session_id").alias("_seen")).distinct()
+    theirs = upto.join(seen, F.col("session_id").eqNullSafe(F.col("_seen")), "left_semi")
+    active = session_stats(theirs, minutes).where(F.col("last_time") >= start)
     users = upto.where(F.col("ts") >= start).agg(F.count_distinct("user_id")).scalar()
     return behaviour_summary(active, users)
 

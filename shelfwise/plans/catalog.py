@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from .. import datasets as d
 from ..functions import scalars
+from ..functions.scalars import dot
 from ..operators import (
     bandit,
     cleaning,
@@ -547,7 +548,7 @@ def duplicate_rows(spark, sf):
 
 @query
 def duplicate_rows_all(spark, sf):
-    return quality.duplicate_rows(d.table(spark, sf, "documents"), ["text"])
+    return quality.duplicate_rows(d.table(spark, sf, "documents").drop("doc_id"))
 
 
 @query
@@ -660,8 +661,15 @@ def model_metric_average(spark, sf):
 
 @query
 def linucb_fit(spark, sf):
-    fitted = bandit.linucb_fit(bandit_log(spark, sf))
-    return fitted.select("arm", F.posexplode("theta").alias("pos", "theta"))
+    """The summed rewards b of each arm, and how far the fitted weights are from solving (I + X'X) theta = b."""
+    log = bandit_log(spark, sf)
+    fitted = bandit.linucb_fit(log)
+    x = F.transform(F.slice("context", 1, 10), lambda v: v.cast("double"))
+    rows = log.join(fitted.select("arm", "theta"), "arm").withColumn("x", x).withColumn("fit", dot(F.col("x"), F.col("theta")))
+    sums = rows.select("arm", "theta", "fit", "reward", F.posexplode("x").alias("pos", "v")).groupBy("arm", "pos").agg(
+        F.sum(F.col("v") * F.col("reward")).alias("b"), F.sum(F.col("v") * F.col("fit")).alias("ax"), F.first(F.get("theta", F.col("pos"))).alias("theta")
+    )
+    return sums.select("arm", "pos", F.round("b", 6).alias("reward_sum"), F.round(F.abs(F.col("ax") + F.col("theta") - F.col("b")), 6).alias("residual"))
 
 
 @query
@@ -779,7 +787,7 @@ def unseen_items(spark, sf):
 @query
 def mf_recommend(spark, sf):
     rows = one_model(spark, sf).select("user_id", "item_id", F.col("score").alias("rating"))
-    u, i = factors.mf_fit(rows, rank=8, max_iter=5)
+    u, i = factors.mf_fit(rows)
     return factors.mf_recommend(u, i, 10)
 
 
@@ -817,7 +825,7 @@ def ncf_gmf_fit(spark, sf):
 
 @query
 def content_factors(spark, sf):
-    f = factors.content_factors(catalogue(spark, sf), components=5)
+    f = factors.content_factors(catalogue(spark, sf))
     return f.select("item_id", F.posexplode("features").alias("pos", "value"))
 
 
@@ -854,7 +862,7 @@ def incremental_feedback_batch(spark, sf):
 
 @query
 def generate_candidates(spark, sf):
-    return matching.generate_candidates(d.users(spark, sf), d.user_vectors(spark, sf), d.item_vectors(spark, sf), limit=20)
+    return matching.generate_candidates(d.users(spark, sf), d.user_vectors(spark, sf), d.item_vectors(spark, sf), limit=100)
 
 
 @query
@@ -873,6 +881,15 @@ def rank_candidates(spark, sf):
     )
 
 
+@query
+def rank_text_pairs(spark, sf):
+    """Text pairs scored by a model that reads text; here their lengths stand in for it."""
+    found = ranking.top_n_per_user(one_model(spark, sf), 20)
+    return matching.rank_candidates(found, lambda text: F.length(text).cast("double")).select(
+        "user_id", "item_id", "score", "original_score", "rank"
+    )
+
+
 @finer_query
 def ensemble_weighted_rank(spark, sf):
     return ensemble.ensemble_weighted_rank(lists(spark, sf))
@@ -959,12 +976,12 @@ def refresh_cold_start(spark, sf):
 @query
 def update_recommendations(spark, sf):
     ev = d.behaviour(spark, sf)
-    return recommend.update_recommendations(ev, ranking.top_popular(ev, 60), 60)
+    return recommend.update_recommendations(ev, ranking.top_popular(ev, 100), 100)
 
 
 @query
 def behaviour_recommendations(spark, sf):
-    return recommend.behaviour_recommendations(d.behaviour(spark, sf), 60, 60, 11)
+    return recommend.behaviour_recommendations(d.behaviour(spark, sf), 100, 60, 11)
 
 
 @query
@@ -1109,7 +1126,7 @@ def stream_update_recommendations(spark, sf):
     sink = jobs.Snapshots(spark, f"{path}/table")
     history = jobs.History(spark, f"{path}/history")
     jobs.stream_update_recommendations(
-        event_stream(spark, sf), history, sink, f"{path}/checkpoint", 60, None
+        event_stream(spark, sf), history, sink, f"{path}/checkpoint", 100, None
     ).start().awaitTermination()
     return sink.current
 

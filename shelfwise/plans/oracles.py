@@ -376,7 +376,7 @@ oracle("missing_values", "docl", " UNION ALL ".join(
 _DUP = "SELECT CAST(sum(n - 1) AS BIGINT) AS duplicate_count, {pct} AS duplicate_percentage FROM (SELECT count(*) AS n FROM {t} GROUP BY {k})"
 _PCT = r("sum(n - 1) * 100.0::DOUBLE / sum(n)")
 oracle("duplicate_rows", "rev", _DUP.format(pct=_PCT, t="rev", k="user_id, product_id"))
-oracle("duplicate_rows_all", "", _DUP.format(pct=_PCT, t="documents", k="text"))
+oracle("duplicate_rows_all", "", _DUP.format(pct=_PCT, t="documents", k="text, lang, source, n_chars"))
 
 
 def _numeric(c: str) -> str:
@@ -513,6 +513,9 @@ oracle("ab_readiness", "lst", f"""
 oracle("model_metric_average", "ms", f"""
     WITH m AS (SELECT model, avg(score) AS a, max(score) AS b FROM ms GROUP BY 1)
     SELECT 'mean_score' AS metric_name, {r('avg(a)')} AS value FROM m UNION ALL SELECT 'best_score', {r('avg(b)')} FROM m""")
+oracle("linucb_fit", "log", f"""
+    SELECT arm, CAST(pos - 1 AS INTEGER) AS pos, {r('sum(x * reward)')} AS reward_sum, 0.0::DOUBLE AS residual
+    FROM (SELECT arm, reward, unnest(context[1:10])::DOUBLE AS x, generate_subscripts(context[1:10], 1) AS pos FROM log) GROUP BY 1, 2""")
 oracle("linucb_select", "log", f"""
     WITH x AS (SELECT arm, unnest(context) AS v, generate_subscripts(context, 1) AS pos FROM log),
         t AS (SELECT arm, list(m ORDER BY pos) AS theta FROM (SELECT arm, pos, avg(v) AS m FROM x GROUP BY 1, 2) GROUP BY 1),
@@ -626,7 +629,7 @@ oracle("generate_candidates", "usr vec", f"""
         u AS (SELECT user_id, coalesce(vec.features, m.features) AS features FROM usr LEFT JOIN vec ON vec.item_id = user_id, m),
         s AS (SELECT user_id, item_id, list_cosine_similarity(u.features, vec.features) AS score FROM u, vec)
     SELECT user_id, item_id, {r('score')} AS score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank,
-        'candidate_generation' AS stage, 'candidate_generation' AS model FROM s QUALIFY rank <= 20""")
+        'candidate_generation' AS stage, 'candidate_generation' AS model FROM s QUALIFY rank <= 100""")
 oracle("filter_candidates", "lg cat pop", """
     WITH kept AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank
             FROM lg WHERE item_id IN (SELECT item_id FROM cat WHERE price < 905)),
@@ -641,6 +644,9 @@ oracle("filter_candidates", "lg cat pop", """
 oracle("rank_candidates", "lg", f"""
     SELECT user_id, item_id, {r('score * (1 + item_id % 7)')} AS score, {r('score')} AS original_score,
         row_number() OVER (PARTITION BY user_id ORDER BY score * (1 + item_id % 7) DESC, item_id) AS rank FROM lg WHERE rank <= 20""")
+oracle("rank_text_pairs", "lg", f"""
+    WITH t AS (SELECT user_id, item_id, score AS original, length('User: User ' || user_id || ' Item: Product ' || item_id)::DOUBLE AS score FROM lg WHERE rank <= 20)
+    SELECT user_id, item_id, score, {r('original')} AS original_score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM t""")
 _W = "CASE model WHEN 'lightgcn' THEN 0.5::DOUBLE ELSE 0.5::DOUBLE END"
 _ENS = f"""e AS (SELECT user_id, item_id, sum(score * {{f}}{_W} / rank) / count(*) AS score, count(*) AS models FROM lst GROUP BY 1, 2),
     ek AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM e)"""
@@ -716,13 +722,13 @@ def _update(source: str, popular: str) -> str:
             JOIN suf ON suf.user_id = a.user_id AND suf.event_id = greatest(a.first, b.first) GROUP BY 1, 2),
         c AS (SELECT f.user_id, p.related_id AS item_id, sum(p.score) AS score FROM f JOIN p ON p.product_id = f.product_id
             WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.user_id = f.user_id AND g.product_id = p.related_id) GROUP BY 1, 2),
-        own AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM c QUALIFY rank <= 60),
+        own AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM c QUALIFY rank <= 100),
         pp AS ({popular}),
         u AS (SELECT f.user_id, count(*) AS products, (SELECT count(*) FROM own o WHERE o.user_id = f.user_id) AS n FROM f GROUP BY 1),
         more AS (SELECT u.user_id, pp.item_id, n + row_number() OVER (PARTITION BY u.user_id ORDER BY pp.rank) AS rank FROM u, pp
-            WHERE pp.rank <= 60 AND NOT EXISTS (SELECT 1 FROM f WHERE f.user_id = u.user_id AND f.product_id = pp.item_id)
+            WHERE pp.rank <= 100 AND NOT EXISTS (SELECT 1 FROM f WHERE f.user_id = u.user_id AND f.product_id = pp.item_id)
                 AND NOT EXISTS (SELECT 1 FROM own o WHERE o.user_id = u.user_id AND o.item_id = pp.item_id)),
-        al AS (SELECT * FROM own UNION ALL SELECT * FROM more WHERE rank <= 60)
+        al AS (SELECT * FROM own UNION ALL SELECT * FROM more WHERE rank <= 100)
     SELECT al.user_id, item_id, CAST(rank AS INTEGER) AS rank, {r('1.0 - 0.01::DOUBLE * (rank - 1)')} AS score,
         CASE WHEN products > 20 THEN 'high' WHEN products > 5 THEN 'medium' ELSE 'low' END AS activity_level
     FROM al JOIN u ON u.user_id = al.user_id"""
