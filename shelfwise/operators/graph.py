@@ -83,17 +83,22 @@ def initial_vectors(nodes: DataFrame, dim: int, seed: int = 42, scale: float = 0
     return nodes.select("node", F.array(*[normal(i) for i in range(dim)]).alias("features"))
 
 
-def bpr_triples(ratings: DataFrame, seed: int) -> DataFrame:
+def item_index(ratings: DataFrame) -> DataFrame:
+    """(item_id, idx) of the rated items."""
+    from ..scale import dense_index
+
+    return dense_index(ratings.select("item_id"), "item_id", "idx")
+
+
+def bpr_triples(ratings: DataFrame, seed: int, index: DataFrame | None = None) -> DataFrame:
     """(u, p, q): a positive pair and an item the same user has not touched.
 
-    Positives are the ratings above the smallest one.
+    Positives are the ratings above the smallest one. ``index`` is ``item_index`` of the ratings.
     """
     lowest = ratings.agg(F.min("rating")).scalar()
     pairs = ratings.select("user_id", "item_id").distinct()
     best = ratings.groupBy("user_id", "item_id").agg(F.max("rating").alias("rating")).where(F.col("rating") > lowest)
-    from ..scale import dense_index
-
-    index = dense_index(pairs, "item_id", "idx")
+    index = item_index(ratings) if index is None else index
     negatives = sample_negatives(pairs, 1, "row", seed).select(
         "user_id", F.col("draw_id").alias("idx"), F.col("item_id").alias("negative")
     )
@@ -128,18 +133,20 @@ def lightgcn_fit(
     ratings: DataFrame,
     dim: int = 64,
     layers: int = 3,
-    lr: float = 0.001,
+    lr: float = 0.05,
     epochs: int = 3,
+    batches: int = 4,
     weight_decay: float = 1e-4,
     validation: DataFrame | None = None,
     patience: int = 10,
     seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
-    """User and item factors of (user_id, item_id, rating) rows: BPR on propagated vectors, Adam, full batches.
+    """User and item factors of (user_id, item_id, rating) rows: BPR on propagated vectors, Adam, mini-batches.
 
     Propagation is linear and the edge matrix symmetric, so the gradient at the
-    start vectors is the propagated gradient. Every epoch ends in a written
-    table. With ``validation`` ratings, training stops after ``patience`` epochs
+    start vectors is the propagated gradient. A step passes over the whole graph
+    twice, so an epoch takes few steps (``batches``, dealt by hash) and long ones
+    (``lr``). Every step ends in a written table. With ``validation`` ratings, training stops after ``patience`` epochs
     without a smaller mean squared error, and the best epoch is returned.
     """
     edges = cut_lineage(graph_normalize(ratings), "edges")
@@ -149,13 +156,17 @@ def lightgcn_fit(
         initial_vectors(nodes, dim, seed).withColumns({"m": zeros, "v": zeros}), "epoch"
     )
     best, best_loss, waited = None, None, 0
-    final = None
+    final, index, steps = None, item_index(ratings), 0
     for epoch in range(1, epochs + 1):
-        propagated = cut_lineage(graph_propagate(state, edges, layers, dim), "propagated")
-        triples = cut_lineage(bpr_triples(ratings, seed + epoch), "triples")
-        gradient = cut_lineage(bpr_gradient(propagated, triples, dim), "gradient")
-        step = graph_propagate(gradient, edges, layers, dim).withColumnRenamed("features", "_g")
-        state = cut_lineage(_adam(state.join(step, "node", "left"), epoch, lr, weight_decay, dim), "epoch")
+        batch = F.pmod(F.xxhash64("u", "p", "q", F.lit(epoch)), F.lit(batches))
+        triples = cut_lineage(bpr_triples(ratings, seed + epoch, index).withColumn("batch", batch), "triples")
+        for k in range(batches):
+            part = triples.where(F.col("batch") == k).drop("batch")
+            propagated = cut_lineage(graph_propagate(state, edges, layers, dim), "propagated")
+            gradient = cut_lineage(bpr_gradient(propagated, part, dim), "gradient")
+            step = graph_propagate(gradient, edges, layers, dim).withColumnRenamed("features", "_g")
+            steps += 1
+            state = cut_lineage(_adam(state.join(step, "node", "left"), steps, lr, weight_decay, dim), "step")
         if validation is not None:
             final = cut_lineage(graph_propagate(state, edges, layers, dim), "propagated")
             loss = _validation_loss(final, ratings, validation)

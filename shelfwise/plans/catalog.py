@@ -812,7 +812,7 @@ def graph_propagate(spark, sf):
 @query
 def lightgcn_fit(spark, sf):
     rows = d.behaviour(spark, sf).select("user_id", F.col("product_id").alias("item_id"), "rating")
-    u, i = graph.lightgcn_fit(rows, dim=8, layers=2, epochs=1)
+    u, i = graph.lightgcn_fit(rows, epochs=1)
     return matching.recommend(u, i, 10)
 
 

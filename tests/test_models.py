@@ -70,6 +70,19 @@ def test_lightgcn_fit_gives_a_vector_per_id(spark):
     assert matching.recommend(u, i, 2).count() == 10
 
 
+def test_lightgcn_orders_held_out_pairs(spark):
+    """Users touch most items of their own half; of the pairs never seen, those of the own half come first."""
+    every = [(u, i) for u in range(16) for i in range(16)]
+    seen = [(u, i) for u, i in every if u % 2 == i % 2 and (3 * u + 5 * i) % 7 not in (0, 1)]
+    rows = spark.createDataFrame([(u, i, 1.0 if (u + i) % 8 == 0 else 5.0) for u, i in seen], "user_id INT, item_id INT, rating DOUBLE")
+    u, i = graph.lightgcn_fit(rows, dim=8, layers=2, epochs=2, batches=2)
+    x, y = ({r[0]: np.array(r[1]) for r in df.collect()} for df in (u, i))
+    left = [p for p in every if p not in seen]
+    good = [x[a] @ y[b] for a, b in left if a % 2 == b % 2]
+    bad = [x[a] @ y[b] for a, b in left if a % 2 != b % 2]
+    assert np.mean([g > b for g in good for b in bad]) > 0.7
+
+
 def test_linucb_equals_rank_one_updates(spark):
     rng = np.random.default_rng(4)
     log = [(int(rng.integers(3)), rng.normal(size=4), float(rng.normal())) for _ in range(60)]
