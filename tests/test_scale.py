@@ -74,9 +74,9 @@ def test_block_scores(spark, block, cosine):
     if cosine:
         a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (a, b))
     s = a @ b.T
-    every = {(r[0], r[1]): r[2] for r in matching.block_scores(users, items, block=block, cosine=cosine).collect()}
+    every = {(r[0], r[1]): r[2] for r in matching.block_scores(users, items, block=block, query_block=3, cosine=cosine).collect()}
     assert len(every) == s.size and all(abs(s[k] - v) < 1e-9 for k, v in every.items())
-    top = matching.block_scores(users, items, n=3, block=block, cosine=cosine).collect()
+    top = matching.block_scores(users, items, n=3, block=block, query_block=5, cosine=cosine).collect()
     for r in top:
         assert r["item_id"] == np.argsort(-s[r["user_id"]])[r["rank"] - 1]
     assert len(top) == 33
