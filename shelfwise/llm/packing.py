@@ -36,6 +36,10 @@ _NUMBERS = "0-9²³¹¼-¾"
 _TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 _MARKS = ("<|startoftext|>", "<|endoftext|>")
 
+# The vocabulary spells bytes as letters: printable ones as themselves, the others as the letters from U+0100 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in _PRINTABLE)}
+
 
 def vocabulary_path() -> str:
     import public_tokenizers
@@ -47,8 +51,8 @@ class Encoder(dict):
     """Ids of texts as little-endian 32-bit bytes.
 
     The vocabulary drops white space and never joins two words, so texts of Latin-1
-    characters are split by its rule and each word is looked up; the new words of a
-    batch are encoded together. Other words go to the tokenizer whole. The number of
+    characters are split by its rule and each word is looked up; new words are merged
+    by the vocabulary's own merge rules. Other words go to the tokenizer whole. The number of
     remembered words is bounded; forgetting changes nothing but the time.
     """
 
@@ -57,6 +61,7 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer, self.known = Tokenizer.from_file(path), known
+        self.merges = self.tokenizer.model
 
     def words(self, text: str) -> list[str]:
         """Strings that can be encoded one by one."""
@@ -66,15 +71,22 @@ class Encoder(dict):
             return _TOKEN.findall(text.lower())
         return [x for w in text.split() for x in (_TOKEN.findall(w.lower()) if max(w) < "Ā" else [w])]
 
+    def encoded(self, word: str) -> list[int]:
+        """A lower-case Latin-1 word needs the vocabulary's merges only; other strings need all steps of the tokenizer."""
+        if word.isascii() or max(word) < "Ā":
+            if not any(m in word for m in _MARKS):
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                return [t.id for t in self.merges.tokenize(spelled)]
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
     def ids(self, texts: list[str]) -> list[bytes]:
         found = [self.words(t) for t in texts]
         new = set().union(*found) - self.keys()
         if len(self) + len(new) > self.known:
             self.clear()
             new = set().union(*found)
-        new = list(new)
-        for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[word] = array("I", e.ids).tobytes()
+        for word in new:
+            self[word] = array("I", self.encoded(word)).tobytes()
         return [b"".join(map(self.__getitem__, w)) for w in found]
 
 
