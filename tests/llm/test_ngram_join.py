@@ -66,8 +66,9 @@ def test_similar_sets_share_a_key(n, changes, limit, seed):
     b = np.unique(b)
     shared = len(np.intersect1d(a, b))
     if den * shared >= num * (len(a) + len(b) - shared):
-        keys = [set(ngram_join.segment_keys(s, num, den).tolist()) for s in (a, b)]
-        assert keys[0] & keys[1]
+        for most in (None, ngram_join.SEGMENTS):
+            keys = [set(ngram_join.segment_keys(s, num, den, most).tolist()) for s in (a, b)]
+            assert keys[0] & keys[1]
         assert similar.linked([a, b], np.array([0, 1]), False, num, den) or len(a) == 0
 
 
