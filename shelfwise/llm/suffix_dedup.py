@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 from .hashing import _BASE, _VALUES, buffers, mix
 
 LENGTH = 400
@@ -109,12 +109,39 @@ def owners(names: Names, where: list[tuple[int, int, int, int]], n: int) -> tupl
     return part[head], place[head], windows[head], windows[tail]
 
 
+def combined(key: np.ndarray, run: np.ndarray, rid: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+    """Rows (key, run, rid, pos, known) of a buffer, with one row per key and run.
+
+    Places that share both within the buffer are repeated already: they go on as known
+    rows under keys of their own, so that a frequent key sends one row per buffer.
+    """
+    order = np.lexsort((pos, rid, run, key))
+    key, run, rid, pos = key[order], run[order], rid[order], pos[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (run[1:] != run[:-1])
+    once = new.copy()
+    once[1:] |= (rid[1:] != rid[:-1]) | (pos[1:] != pos[:-1])
+    key, run, rid, pos, new = key[once], run[once], rid[once], pos[once], new[once]
+    group = np.cumsum(new) - 1
+    several = np.bincount(group)[group] > 1
+    own = mix(mix(rid[several].astype(np.uint64)) + pos[several].astype(np.uint64)).view(np.int64)
+    columns = {
+        "key": np.concatenate([key[new], own]), "run": np.concatenate([run[new], np.zeros(len(own), np.int64)]),
+        "rid": np.concatenate([rid[new], rid[several]]), "pos": np.concatenate([pos[new], pos[several]]),
+        "known": np.repeat([False, True], [np.count_nonzero(new), len(own)]),
+    }
+    return pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in columns.items()})
+
+
+ROWS = "key long, run long, rid long, pos long, known boolean"
+
+
 def text_id(text: str = "text") -> F.Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def samples(docs: DataFrame) -> DataFrame:
-    """(name, run, rid, pos): one row per sampled position; pos holds its first window and their number."""
+    """(key, run, rid, pos, known) of the sampled positions; pos holds the first window and their number less one."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -128,11 +155,10 @@ def samples(docs: DataFrame) -> DataFrame:
                 rows, bases, begins = (np.array([w[k] for w in where]) for k in (0, 1, 2))
                 run = mix(names.at(first, LENGTH) * _BASE + names.at(last, LENGTH) + ((last - first) * 1024 + place - first).astype(np.uint64))
                 pos = (first - begins[part] + bases[part]) * 256 + (last - first)
-                columns = [names.at(place, CORE).view(np.int64), run.view(np.int64), rids[rows[part]], pos]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "run", "rid", "pos"])
+                yield combined(names.at(place, CORE).view(np.int64), run.view(np.int64), rids[rows[part]], pos)
 
     long_texts = docs.where(F.octet_length("text") >= LENGTH).select(text_id().alias("rid"), "text")
-    return long_texts.mapInArrow(scan, "key long, run long, rid long, pos long")
+    return long_texts.mapInArrow(scan, ROWS)
 
 
 def repeated(rows: DataFrame, with_key: bool = False) -> DataFrame:
@@ -140,13 +166,13 @@ def repeated(rows: DataFrame, with_key: bool = False) -> DataFrame:
 
     Rows of a run that occurs at two places are repeated (open is false). If a key has
     several runs, the first row of each is returned as open too, to be compared in
-    detail. Keys arrive sorted; a task holds one key's rows, and of a long key only the
+    detail. Rows with a true ``known`` are repeated whatever the others are. Keys arrive sorted; a task holds one key's rows, and of a long key only the
     rows that may still matter.
     """
     fields = ["key", "run", "rid", "pos"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {c: np.zeros(0, np.int64) for c in fields} | {"closed": np.zeros(0, bool), "opened": np.zeros(0, bool)}
+        held = {c: np.zeros(0, np.int64) for c in fields} | {c: np.zeros(0, bool) for c in ("known", "closed", "opened")}
         had_more = False
 
         def out(rows: dict, covered: np.ndarray, opened: np.ndarray) -> pa.RecordBatch:
@@ -174,7 +200,7 @@ def repeated(rows: DataFrame, with_key: bool = False) -> DataFrame:
             in_run = np.bincount(run_no)[run_no]
             runs = np.bincount(key_no[new_run])
             runs[0] += had_more
-            covered = (in_run >= 2) & ~rows["closed"]
+            covered = ((in_run >= 2) | rows["known"]) & ~rows["closed"]
             opened = new_run & (runs[key_no] >= 2) & ~rows["opened"]
             done = np.ones(n, bool) if new is None else key_no < key_no[-1]
             if done.any():
@@ -185,7 +211,7 @@ def repeated(rows: DataFrame, with_key: bool = False) -> DataFrame:
                 # All but the last run are complete if another run follows; of the last one two rows tell that it is repeated.
                 several = runs[-1] >= 2
                 last = run_no == run_no[-1]
-                yield out(rows, covered & keep & (~last | (in_run >= 2)), opened & keep)
+                yield out(rows, covered & keep, opened & keep)
                 rows["closed"] = rows["closed"] | covered
                 rows["opened"] = rows["opened"] | opened
                 first = np.flatnonzero(last)[:2]
@@ -196,15 +222,16 @@ def repeated(rows: DataFrame, with_key: bool = False) -> DataFrame:
 
         for batch in batches:
             if batch.num_rows:
-                yield from step({c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(fields)})
+                yield from step({c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*fields, "known")})
         yield from step(None)
 
-    dealt = rows.select(*fields).repartition("key").sortWithinPartitions(*fields)
+    known = F.col("known") if "known" in rows.columns else F.lit(False)
+    dealt = rows.select(*fields, known.alias("known")).repartition("key").sortWithinPartitions(*fields)
     return dealt.mapInArrow(scan, "rid long, pos long, open boolean" + (", key long" if with_key else ""))
 
 
 def windows(texts: DataFrame) -> DataFrame:
-    """(key, run, rid, pos) of the single windows of rows (rid, text, ranges); ranges are first windows and numbers."""
+    """(key, run, rid, pos, known) of the single windows of rows (rid, text, ranges); ranges are first windows and numbers."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,7 +239,7 @@ def windows(texts: DataFrame) -> DataFrame:
             lists = batch.column(2)
             at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
             for data, where in parts(batch.column(1)):
-                names = Names(data, 256)
+                names, found = Names(data, 256), []
                 for row, base, a, b in where:
                     packed = flat[at[row] : at[row + 1]]
                     first, more = packed // 256, packed % 256
@@ -221,11 +248,11 @@ def windows(texts: DataFrame) -> DataFrame:
                     starts = starts[(starts >= base) & (starts <= base + b - a - LENGTH)]
                     if len(starts):
                         key = names.at(starts - base + a, LENGTH).view(np.int64)
-                        zero = np.zeros(len(starts), np.int64)
-                        columns = [key, zero, np.full(len(starts), rids[row]), starts]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "run", "rid", "pos"])
+                        found.append((key, np.zeros(len(starts), np.int64), np.full(len(starts), rids[row]), starts))
+                if found:
+                    yield combined(*map(np.concatenate, zip(*found, strict=True)))
 
-    return texts.select("rid", "text", "ranges").mapInArrow(scan, "key long, run long, rid long, pos long")
+    return texts.select("rid", "text", "ranges").mapInArrow(scan, ROWS)
 
 
 def cut_out(data: bytes, spans: np.ndarray) -> tuple[bytes, int, int]:
@@ -286,12 +313,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ranges = found.where("open").groupBy("rid").agg(F.collect_list("pos").alias("ranges"))
     single = repeated(windows(texts.join(ranges, "rid")))
     spans = found.where("not open").select("rid", F.expr("pos div 256").alias("start"), (F.expr("pos div 256") + F.col("pos") % 256 + LENGTH).alias("end")).union(
-        single.select("rid", F.col("pos").alias("start"), (F.col("pos") + LENGTH).alias("end"))
+        single.where("not open").select("rid", F.col("pos").alias("start"), (F.col("pos") + LENGTH).alias("end"))
     )
     listed = spans.groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     cut = stored(
         removed(texts.join(listed, "rid")).select("rid", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha")).dropDuplicates(["rid"]), "removed"
     )
+    discard(found, texts)
     twin = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     return (
         sizes.join(copies, "rid")

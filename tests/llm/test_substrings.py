@@ -62,7 +62,7 @@ def words_of(rng, n):
 def test_near_lines_and_set_in_passages(docs_of):
     rng = random.Random(11)
     clean = [(i, "\n".join(" ".join(words_of(rng, 60)) for _ in range(4)), "s") for i in range(30)]
-    line, passage = words_of(rng, 40), words_of(rng, 60)
+    line, passage = words_of(rng, 60), words_of(rng, 60)
     near = line[:20] + ["changed"] + line[20:]
     rows = clean + [(100, " ".join(line), "s"), (101, "x\n" + " ".join(near), "s")]
     for d in (200, 201, 202):
