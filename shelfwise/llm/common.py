@@ -46,7 +46,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, written below the shared folder and read back; lost executors cost no recomputation."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no later step reads: everything made from them is stored itself by now."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "links") -> DataFrame:
@@ -66,7 +75,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "links"
             live.select(F.col("hi").alias("id"), F.col("lo").alias("to"))
         )
         hook = stored(both.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("root")), name)
+        before = live
         if labels is not None and hook.isEmpty():
+            discard(hook, live)
             return labels
         live = stored(
             live.join(hook.select(F.col("id").alias("lo"), F.col("root").alias("x")), "lo")
@@ -76,14 +87,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "links"
             .distinct(),
             name,
         )
+        discard(before)
         if labels is None:
             labels = hook
         else:
             step = hook.select(F.col("id").alias("root"), F.col("root").alias("next"))
+            older = labels
             labels = stored(
                 labels.join(step, "root", "left").select("id", F.coalesce("next", "root").alias("root")), name
             )
+            discard(older, hook)
         if live.isEmpty():
+            discard(live)
             return labels
 
 

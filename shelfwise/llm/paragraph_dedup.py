@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, discard, stored
 from .hashing import mix, powers, shingle_hashes, texts_in_parts, word_hashes
 from .similar import candidate_roots, partial_stars, star_links, verified_links
 from .suffix_dedup import repeated
@@ -147,9 +147,11 @@ def near_lines(docs: DataFrame) -> DataFrame:
     texts = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("of_doc")).select("text", "wanted")
     links = stored(verified_links(sets_of(texts), NUM, DEN), "line_links")
     labels = components(links, "a", "b", "lines")
+    discard(roots, links)
     placed = classes.join(labels, "id", "left").where("n > 1 or root is not null").select("id", F.coalesce("root", "id").alias("root"), "place")
     first = placed.groupBy("root").agg(F.min("place").alias("of"))
     named = stored(placed.join(first, "root").select("id", "of"), "line_components")
+    discard(classes, labels)
     return lines.join(named, "id").select(
         F.lit("paragraph").alias("kind"), "doc_id", "start", "n_words", "of", (F.struct("doc_id", "start") != F.col("of")).alias("removed")
     ).distinct()

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, discard, stored
 
 TILE = 512
 BITMAP_WORDS = 16
@@ -165,4 +165,7 @@ def verified_links(members: DataFrame, num: int, den: int, tile: int = TILE) ->
 
 def candidate_roots(links: DataFrame, name: str) -> DataFrame:
     """(id, root) of the components of candidate links."""
-    return components(stored(links, name), "id", "lead", name)
+    held = stored(links, name)
+    roots = components(held, "id", "lead", name)
+    discard(held)
+    return roots
