@@ -76,9 +76,11 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray
                 s[np.ix_(with_term, at)] += part[with_term, t, None] * weight[None, :]
         for i in range(len(part)):
             row, own = s[i], q_ids[a + i]
-            if len(row) > k + 1:
-                # One more than k, as the query itself may be among them; ties at the border all stay.
-                border = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
+            # Rows with the query's own id, however many, come last and are left out below.
+            row[np.searchsorted(c_ids, own) : np.searchsorted(c_ids, own, "right")] = np.iinfo(kind).min
+            if len(row) > k:
+                # Ties at the border all stay.
+                border = np.partition(row, len(row) - k)[len(row) - k]
                 places = np.flatnonzero(row >= border)
             else:
                 places = np.arange(len(row))

@@ -48,3 +48,14 @@ def test_large_weights_keep_exact_scores(spark):
     rows = [(i, [3e7 + i, -3e7], 1) for i in (20, 21, 22)]
     out = topk.search(topk.integer_vectors(spark.createDataFrame(rows, SCHEMA)), F.col("vec_id") == 20).collect()
     assert [tuple(r) for r in out] == plain([(i, v) for i, v, _ in rows], 20)
+
+
+def test_many_rows_with_the_id_of_a_query_leave_its_list_whole(spark):
+    rows = [(20, [2.0, 1.0])] * 30 + [(100 + 20 * i + 1, [0.01 * i, 0.5]) for i in range(60)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], SCHEMA)
+    out = {tuple(r) for r in topk.search(topk.integer_vectors(df), F.col("vec_id") == 20).collect()}
+    c_ids, c = np.array([i for i, _ in rows]), np.array([[math.floor(64 * float(np.float32(x))) for x in v] for _, v in rows])
+    ids, found, _ = topk.block_top(np.array([20]), c[:1], c_ids, c, 20)
+    best = sorted(((-int(x @ c[0]), int(i)) for i, x in zip(c_ids, c, strict=True) if i != 20))[:20]
+    assert list(found) == [i for _, i in best] and set(ids) == {20}
+    assert {v for _, _, v, _ in out} <= {i for _, i in best} and len(out) == 20
