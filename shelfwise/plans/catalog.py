@@ -812,14 +812,14 @@ def graph_propagate(spark, sf):
 @query
 def lightgcn_fit(spark, sf):
     rows = d.behaviour(spark, sf).select("user_id", F.col("product_id").alias("item_id"), "rating")
-    u, i = graph.lightgcn_fit(rows, epochs=1)
+    u, i = graph.lightgcn_fit(rows)
     return matching.recommend(u, i, 10)
 
 
 @query
 def ncf_gmf_fit(spark, sf):
     rows = review_pairs(spark, sf)
-    u, i, weights, intercept = factors.ncf_gmf_fit(rows, dim=8, max_iter=3)
+    u, i, weights, intercept = factors.ncf_gmf_fit(rows)
     return factors.ncf_gmf_score(rows.select("user_id", "item_id"), u, i, weights, intercept)
 
 

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from shelfwise.operators import bandit, factors, graph, matching
+from shelfwise.plans import catalog
 
 
 def pairs():
@@ -142,3 +143,17 @@ def test_unknown_users_get_the_mean_vector(spark):
     users = spark.createDataFrame([(1,), (3,)], "user_id INT")
     best = {r["user_id"]: r["item_id"] for r in matching.generate_candidates(users, uf, items, limit=1).collect()}
     assert best == {1: 7, 3: 8}
+
+
+@pytest.mark.parametrize("module, name", [(graph, "lightgcn_fit"), (factors, "ncf_gmf_fit")])
+def test_registered_queries_train_with_the_operators_defaults(spark, sf, monkeypatch, module, name):
+    class Called(Exception):
+        pass
+
+    def called(*args, **options):
+        raise Called(len(args), options)
+
+    monkeypatch.setattr(module, name, called)
+    with pytest.raises(Called) as caught:
+        getattr(catalog, name)(spark, sf)
+    assert caught.value.args == (1, {})
