@@ -62,7 +62,7 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data, offsets - offsets[0]
 
 
-def _blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+def _blocks(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray) -> Iterator[tuple[int, int]]:
     """Spans of about BLOCK_BYTES that end after a text or before a word."""
     at, n = 0, len(data)
     while at < n:
@@ -72,10 +72,10 @@ def _blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
             if end > at:
                 to = int(end)
             else:
-                gap = np.flatnonzero(~WORD_BYTE[data[at:to]])
+                gap = np.flatnonzero(~word_byte[data[at:to]])
                 while not len(gap) and to < n:
                     step = min(n, to + BLOCK_BYTES)
-                    gap, to = np.flatnonzero(~WORD_BYTE[data[at:step]]), step
+                    gap, to = np.flatnonzero(~word_byte[data[at:step]]), step
                     if not len(gap) and offsets[np.searchsorted(offsets, to, "right") - 1] > at:
                         break
                 end = int(offsets[np.searchsorted(offsets, to, "right") - 1])
@@ -84,12 +84,17 @@ def _blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each word, its first byte, first word of each text and the total): a CSR layout over the texts."""
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, lower: bool = False, word_byte: np.ndarray = WORD_BYTE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, its first byte, first word of each text and the total): a CSR layout over the texts.
+
+    ``word_byte`` says of each byte value whether it belongs to words.
+    """
     values, hashes, firsts = _VALUES[lower], [], []
-    for a, b in _blocks(data, offsets):
+    for a, b in _blocks(data, offsets, word_byte):
         part = data[a:b]
-        inside = np.flatnonzero(WORD_BYTE[part])
+        inside = np.flatnonzero(word_byte[part])
         if not len(inside):
             continue
         begins = np.ones(len(inside), bool)

@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, mixing, ngram_join, packing, paragraph_dedup, quality_rules, suffix_dedup, topk, warc
+from . import (
+    lexical, licenses, line_dedup, mixing, ngram_join, packing, paragraph_dedup, quality_rules, suffix_dedup, topk, urls, warc, whitening,
+)
 from .common import table
 
+# The rules of op13 as (verdict, host, path).
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
 
 def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated paragraphs and passages of all documents with their components."""
@@ -63,10 +68,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best of all documents for every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every vector."""
+    return whitening.whiten(whitening.integer_vectors(table(spark, sf_dir, "embeddings")))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; the rules' own verdicts are the labels of the model."""
+    judged = urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark, URL_RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_paragraph_dedup, op2_quality_rules, op3_line_dedup, op4_harmonic_packing, op5_topk_search, op6_suffix_dedup, op7_ngram_join, op8_source_mix,
-        op9_license_scan, op10_warc,
+        op9_license_scan, op10_warc, op11_lexical_search, op12_embedding_whitening, op13_url_filter,
     )
 }
