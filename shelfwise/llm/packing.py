@@ -1,11 +1,14 @@
 """Harmonic packing of token sequences.
 
-A document's ids are cut into pieces whose lengths are reciprocals of the capacity
-(1, 1/2, 1/4, ...): full sequences first, then the binary parts of the rest, longest
-first. A class of pieces of length capacity / m fills its sequences with exactly m
-pieces each, so a bin is full by its count alone, and every task fills its own bins
-without knowing the others. What a task has left of a class at its end becomes
-sequences whose lengths are powers of two, which need no padding.
+A document's ids are cut into full sequences and a rest. A rest of length r belongs to
+class m = capacity div r, so that its length lies above capacity / (m + 1) and m rests
+fit into a sequence. A class fills its sequences with exactly m whole rests each. What
+they leave free is shorter than any rest of the class, so the head of the next rest
+fills it to the last token, and the tail of that one goes on to its own class: at most
+one cut per sequence, and no padding. There are fewer than 2 sqrt(capacity) classes,
+and every task fills its own sequences without knowing the others. The sequences that a
+task leaves open are joined at its end, and the last of them is cut to lengths that
+are powers of two, which need no padding.
 
 Defined results: a null or empty text has the end id only; repeated rows are packed
 each; a null doc_id is kept as null; ties do not arise, as rows are packed in the
@@ -30,10 +33,12 @@ END_ID = 2
 KNOWN_TOKENS = 1_000_000
 BATCH_TEXTS = 256
 
-# The vocabulary's word rule on lower-case Latin-1 text.
+# The vocabulary's word rule on lower-case Latin-1 text, and the white space below U+0100.
+_BLANKS = "\t-\r \x85\xa0"
 _LETTERS = "a-zªµºß-öø-ÿ"
 _NUMBERS = "0-9²³¹¼-¾"
-_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
+_BLANK = re.compile(rf"[{_BLANKS}]+")
 _MARKS = ("<|startoftext|>", "<|endoftext|>")
 
 # The vocabulary spells bytes as letters: printable ones as themselves, the others as the letters from U+0100 on.
@@ -69,13 +74,13 @@ class Encoder(dict):
             return [text]
         if text.isascii() or max(text) < "Ā":
             return _TOKEN.findall(text.lower())
-        return [x for w in text.split() for x in (_TOKEN.findall(w.lower()) if max(w) < "Ā" else [w])]
+        return [x for w in _BLANK.split(text) if w for x in (_TOKEN.findall(w.lower()) if max(w) < "Ā" else [w])]
 
     def encoded(self, word: str) -> list[int]:
         """A lower-case Latin-1 word needs the vocabulary's merges only; other strings need all steps of the tokenizer."""
         if word.isascii() or max(word) < "Ā":
             if not any(m in word for m in _MARKS):
-                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                spelled = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
                 return [t.id for t in self.merges.tokenize(spelled)]
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
@@ -100,46 +105,68 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
-    """Lengths of a document's pieces, in order."""
-    full, rest = divmod(n, capacity)
-    return [capacity] * full + [1 << b for b in range(capacity.bit_length() - 2, -1, -1) if rest >> b & 1]
-
-
 class Bins:
-    """The open sequence of each class in one task."""
+    """The open sequence of each class in one task. A piece is (doc_id, start, tokens of its document, its ids as bytes)."""
 
     def __init__(self, capacity: int, first: int):
         self.capacity, self.next = capacity, first
-        self.open: dict[int, list[tuple]] = {}
+        self.open: dict[int, tuple[list[tuple], int]] = {}
 
     def add(self, piece: tuple) -> list[tuple]:
-        """Rows of the sequence that this piece (doc_id, start, length, ...) completes, if it does."""
-        length = piece[2]
-        waiting = self.open.setdefault(length, [])
-        waiting.append(piece)
-        if len(waiting) * length < self.capacity:
-            return []
-        self.open[length] = []
-        return self.close(waiting)
+        """Rows of the sequences that this piece completes; it may be of any length."""
+        doc_id, start, tokens, data = piece
+        rows, wide = [], 4 * self.capacity
+        full = len(data) // wide
+        for i in range(full):
+            rows += self.close([(doc_id, start + i * self.capacity, tokens, data[i * wide : (i + 1) * wide])])
+        if full:
+            piece = doc_id, start + full * self.capacity, tokens, data[full * wide :]
+        while piece[3]:
+            length = len(piece[3]) // 4
+            m = self.capacity // length
+            held, used = self.open.pop(m, ([], 0))
+            if len(held) < m:
+                held.append(piece)
+                used += length
+                if used == self.capacity:
+                    rows += self.close(held)
+                else:
+                    self.open[m] = held, used
+                break
+            head, piece = self.cut(piece, self.capacity - used)
+            rows += self.close([*held, head])
+        return rows
+
+    @staticmethod
+    def cut(piece: tuple, n: int) -> tuple[tuple, tuple]:
+        doc_id, start, tokens, data = piece
+        return (doc_id, start, tokens, data[: 4 * n]), (doc_id, start + n, tokens, data[4 * n :])
 
     def close(self, pieces: list[tuple]) -> list[tuple]:
         rows, offset = [], 0
-        for p in pieces:
-            rows.append((*p, self.next, offset))
-            offset += p[2]
+        for doc_id, start, tokens, data in pieces:
+            length = len(data) // 4
+            rows.append((doc_id, start, length, zlib.crc32(data), tokens, data, self.next, offset))
+            offset += length
         self.next += 1
         return rows
 
     def rest(self) -> list[tuple]:
-        """The open sequences, in counts that are powers of two."""
-        rows = []
-        for pieces in self.open.values():
-            at = 0
-            for b in range(len(pieces).bit_length() - 1, -1, -1):
-                if len(pieces) >> b & 1:
-                    rows += self.close(pieces[at : at + (1 << b)])
-                    at += 1 << b
+        """The open sequences, longest pieces first, as full sequences and a last one cut at powers of two."""
+        left = sorted((p for held, _ in self.open.values() for p in held), key=lambda p: len(p[3]))
+        total, rows = sum(len(p[3]) // 4 for p in left), []
+        sizes = [self.capacity] * (total // self.capacity)
+        sizes += [1 << b for b in range(self.capacity.bit_length() - 1, -1, -1) if total % self.capacity >> b & 1]
+        for size in sizes:
+            taken = []
+            while size:
+                piece = left.pop()
+                if len(piece[3]) > 4 * size:
+                    piece, more = self.cut(piece, size)
+                    left.append(more)
+                taken.append(piece)
+                size -= len(piece[3]) // 4
+            rows += self.close(taken)
         self.open = {}
         return rows
 
@@ -161,8 +188,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, wit
         bins = Bins(capacity, TaskContext.get().partitionId() << 36)
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True)) if rows else [()] * (8 if with_ids else 7)
-            # doc_id, start, length, crc, tokens, [ids], sequence, offset
+            columns = list(zip(*rows, strict=True))
+            # doc_id, start, length, crc, tokens, ids, sequence, offset
             keep = [*columns[:5], *columns[-2:]]
             arrays = [pa.array(c, pa.int64()) for c in keep]
             if not with_ids:
@@ -177,11 +204,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, wit
                 held = [t or "" for t in texts.slice(at, BATCH_TEXTS).to_pylist()]
                 for doc_id, data in zip(ids[at : at + BATCH_TEXTS], encode.ids(held), strict=True):
                     data += END_ID.to_bytes(4, "little")
-                    n, start = len(data) // 4, 0
-                    for length in cuts(n, capacity):
-                        part = data[4 * start : 4 * (start + length)]
-                        rows += bins.add((doc_id, start, length, zlib.crc32(part), n, *([part] if with_ids else [])))
-                        start += length
+                    rows += bins.add((doc_id, 0, len(data) // 4, data))
                 if rows:
                     yield made(rows)
         if rows := bins.rest():

@@ -49,6 +49,34 @@ def test_one_sequence_is_full_when_there_is_enough(docs_of):
     assert sum(n == 4096 for n in lengths) >= sum(lengths) // 4096 - 12
 
 
+def test_a_class_fills_its_sequences_with_whole_documents_and_one_cut(docs_of):
+    rng = np.random.default_rng(2)
+    rows = [(i, "word " * int(n), "s") for i, n in enumerate(rng.integers(5, 3000, 400))]
+    pieces = packing.pack(docs_of(rows).coalesce(1)).collect()
+    sequences = check(rows, pieces)
+    full = [s for s in sequences.values() if sum(p.length for p in s) == 4096]
+    fixed = 0
+    for s in full:
+        whole = [p for p in s if p.length + p.start == p.doc_tokens]
+        last = max(s, key=lambda p: p.offset)
+        classes = {4096 // p.length for p in s if p is not last or p in whole}
+        fixed += len(classes) == 1 and len(s) - 1 <= classes.pop() <= len(s)
+    assert fixed >= 0.8 * len(full)
+    # One cut per sequence, and few crumbs.
+    assert len(pieces) <= len(rows) + len(sequences)
+    assert sum(p.length <= 16 for p in pieces) <= 0.05 * len(pieces)
+
+
+def test_every_low_character_in_every_surrounding():
+    encoder = packing.Encoder(packing.vocabulary_path())
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path())
+    around = [("", ""), ("a", "b"), ("A", " "), ("東", "京"), ("東 ", "b"), ("'", "s"), ("é", "1"), ("x'", "ll"), ("\u2003", "ﬁ")]
+    texts = [a + chr(c) * n + b for c in range(0x101) for n in (1, 2) for a, b in around]
+    texts += [chr(c) for c in (0x1680, 0x2000, 0x2028, 0x202F, 0x205F, 0x3000, 0x200B, 0xFEFF)] + [f"a{chr(c)}b" for c in (0x1680, 0x2000, 0x2028, 0x3000, 0xFEFF)]
+    for text, got in zip(texts, encoder.ids(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_forgetting_words_changes_nothing(monkeypatch):
     small, large = packing.Encoder(packing.vocabulary_path(), 3), packing.Encoder(packing.vocabulary_path())
     text = "some words come back and some words do not come back at all " * 3
