@@ -3,12 +3,12 @@
 Two sets with a Jaccard similarity of t or more differ in at most
 (1 - t) / (1 + t) of their summed sizes, say D hashes. Split by hash into D + 3
 segments, three segments at least are equal. So documents of one size band (and
-those close below the next band) that have an equal segment become candidates. With
-``most=None`` all segments are used and no link is lost. By default, of sets of 64
-and more only segments of two hashes or more count (three from 200 on), and 72
-segments at most: segments of one hash join all texts that share a common line. A
-pair at the very threshold has an equal segment of that kind with a probability of
-0.9997 or more at 0.8, and nearer to 1 at 0.9 or above the threshold. Equal empty segments are passed over unless a set has three of them.
+those close below the next band) that have an equal segment become candidates, and no
+link is lost. With ``most`` segments given, of sets of 64 and more only segments of
+two hashes or more count (three from 200 on), and that many at most: segments of one
+hash join all texts that share a common line. A pair at the very threshold then has
+an equal segment with a probability of 0.9997 or more at 0.8 and 72 segments, and
+nearer to 1 at 0.9 or above the threshold. Equal empty segments are passed over unless a set has three of them.
 Candidates are compared in tiles: sizes first, then parity bitmaps, then the sorted
 arrays. Sets that are equal are compared once.
 
@@ -35,6 +35,7 @@ from .similar import candidate_roots, partial_stars, star_links, verified_links
 WORDS, NUM, DEN = 3, 90, 100
 BAND = 1.5
 SPARE = 3
+# A value for ``most`` where texts share many lines.
 SEGMENTS = 72
 
 
@@ -50,7 +51,7 @@ def band_of(size: int) -> int:
     return band
 
 
-def segment_keys(s: np.ndarray, num: int, den: int, most: int | None = SEGMENTS) -> np.ndarray:
+def segment_keys(s: np.ndarray, num: int, den: int, most: int | None = None) -> np.ndarray:
     """Keys of a sorted hash set: its segments in its band and, if a partner may be there, in the next one."""
     own, keys = band_of(len(s)), []
     # A partner is at most den / num times as large; small bands may all hold the same few sizes.
@@ -71,7 +72,7 @@ def segment_keys(s: np.ndarray, num: int, den: int, most: int | None = SEGMENTS)
     return np.concatenate(keys)
 
 
-def fingerprints(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int, num: int, den: int, most: int | None = None) -> DataFrame:
     """doc_id, n_shingles, h1, h2 (128 bits of the set), keys: one row per document."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +87,7 @@ def fingerprints(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     n.append(len(s))
                     h1.append(int(np.add.reduce(mix(s)).view(np.int64)) if len(s) else 0)
                     h2.append(int(np.add.reduce(mix(s ^ np.uint64(0x5555555555555555))).view(np.int64)) if len(s) else 0)
-                    keys.append(segment_keys(s, num, den).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                    keys.append(segment_keys(s, num, den, most).view(np.int64) if len(s) else np.zeros(0, np.int64))
                 lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), pa.array(np.concatenate(keys)))
                 columns = [ids.slice(a, b - a), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "h1", "h2", "keys"])
@@ -129,9 +130,9 @@ def members(docs: DataFrame, roots: DataFrame, k: int) -> DataFrame:
     return texts.select("id", "root", "text").mapInArrow(scan, "id long, root long, set array<long>")
 
 
-def join_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+def join_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, most: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document. Links need den * intersection >= num * union."""
-    prints = stored(fingerprints(docs, k, num, den), "prints")
+    prints = stored(fingerprints(docs, k, num, den, most), "prints")
     same = ["n_shingles", "h1", "h2"]
     full = prints.where("doc_id is not null and n_shingles > 0")
     first = stored(full.groupBy(*same).agg(F.min("doc_id").alias("rep")), "first")
@@ -166,8 +167,8 @@ def join_components(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int =
     )
 
 
-def keep_one(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = WORDS, num: int = NUM, den: int = DEN, most: int | None = None) -> DataFrame:
     """The documents with the smallest doc_id of their component, and those without a doc_id; all columns."""
     gone_id = fresh(docs, "_gone_id")
-    gone = join_components(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    gone = join_components(docs, k, num, den, most).where("doc_id <> component_id").select(F.col("doc_id").alias(gone_id)).distinct()
     return docs.join(gone, docs["doc_id"] == F.col(gone_id), "left_anti")

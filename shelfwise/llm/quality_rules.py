@@ -141,11 +141,13 @@ def judge(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass their own base rules and come from a host that is not rejected; all columns.
 
-    Texts are measured twice instead of being shuffled: once for the hosts, once
-    for the filter. The table of verdicts is small or large as the number of hosts.
+    Texts are measured once, and written with their two flags; they are never
+    shuffled. The table of verdicts is small or large as the number of hosts.
     """
-    m, host = fresh(docs, "_m"), fresh(docs, "_host")
-    failures = docs.select(F.col("source").alias("host"), any_failed(measures(F.col("text"))).alias("failed"))
+    failed, host = fresh(docs, "_failed"), fresh(docs, "_host")
+    flags = let(measures(F.col("text")), lambda m: F.struct(base_failed(m).alias("base"), any_failed(m).alias("any")))
+    held = stored(docs.withColumn(failed, flags), "measured")
+    failures = held.select(F.col("source").alias("host"), F.col(failed)["any"].alias("failed"))
     rejected = host_verdicts(failures).where("rejected").select(F.col("host").alias(host))
-    good = docs.withColumn(m, base_failed(measures(F.col("text")))).where(~F.col(m)).drop(m)
+    good = held.where(~F.col(failed)["base"]).drop(failed)
     return good.join(rejected, good["source"].eqNullSafe(F.col(host)), "left_anti")

@@ -27,9 +27,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 SKIPPABLE = 0x184D2A5D
+FIRST_READ = 4096
 FRAME = 0xFD2FB528
 ARCHIVE_BYTES = 4 << 20
 DICTIONARY_BYTES = 32 << 10
@@ -97,16 +98,19 @@ def frames(content: bytes, path: str = "") -> Iterator[bytes]:
         if at + 8 <= len(content) and (x := struct.unpack_from("<II", content, at))[0] & 0xFFFFFFF0 == 0x184D2A50:
             at += 8 + x[1]
             continue
-        reader = unpacker.decompressobj()
-        try:
-            data = reader.decompress(view[at:])
-        except zstandard.ZstdError as e:
-            raise ValueError(f"{path}: record {number}: {e}") from e
+        # A frame does not tell its length, so it is fed in growing steps: what is read beyond its end is no more than the frame itself or FIRST_READ.
+        reader, parts, step = unpacker.decompressobj(), [], FIRST_READ
+        while not reader.eof and at < len(content):
+            try:
+                parts.append(reader.decompress(view[at : at + step]))
+            except zstandard.ZstdError as e:
+                raise ValueError(f"{path}: record {number}: {e}") from e
+            at, step = min(at + step, len(content)), 2 * step
         if not reader.eof:
             raise ValueError(f"{path}: record {number} is cut short")
-        at = len(content) - len(reader.unused_data)
+        at -= len(reader.unused_data)
         number += 1
-        yield data
+        yield b"".join(parts)
 
 
 def parse(data: bytes, where: str = "") -> tuple[dict[str, str], bytes]:
@@ -139,24 +143,17 @@ def page_number(uri: str) -> int | None:
 def write_archives(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
     """(path, length, content) of archives with one record per page, stored in the shared folder.
 
-    Payloads are told apart by SHA-1 and length. The smallest page_id of a payload
-    is counted before the shuffle; a payload that a third of all pages share is an
-    ordinary skewed join for Spark.
+    Payloads are told apart by SHA-1 and length. Rows of hashes and page_ids alone
+    find the revisits, so a payload that a third of all pages share moves narrow rows
+    only; html meets them by page_id, which no group of pages shares.
     """
-    html = F.coalesce(F.col("html"), F.lit(""))
-    payload = F.encode(html, "UTF-8")
+    payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     own = pages.select("page_id", "url", "html").withColumns({"sha": F.sha1(payload), "bytes": F.length(payload)})
-    # (hash, page_id) only: no text is shuffled.
-    firsts = (
-        pages.select("page_id", F.sha1(payload).alias("sha"), F.length(payload).alias("bytes"))
-        .where(F.col("page_id").isNotNull() & (F.col("bytes") >= revisit_bytes))
-        .groupBy("sha", "bytes")
-        .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .drop("n")
-    )
-    firsts = stored(firsts, "payloads")
-    keyed = own.join(firsts, ["sha", "bytes"], "left").select("page_id", "url", "html", "first")
+    hashes = stored(own.where(F.col("page_id").isNotNull() & (F.col("bytes") >= revisit_bytes)).select("page_id", "sha", "bytes"), "hashes")
+    firsts = hashes.groupBy("sha", "bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    revisits = stored(hashes.join(firsts, ["sha", "bytes"]).where("page_id <> first").distinct(), "revisits")
+    discard(hashes)
+    keyed = own.join(revisits, ["page_id", "sha", "bytes"], "left").select("page_id", "url", "html", "first")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import random
+import time
 
 import pytest
 import zstandard
@@ -60,6 +62,17 @@ def test_compressed_dictionary_is_read():
     assert list(warc.frames(content)) == records
 
 
+def test_a_large_archive_of_small_records_is_read_in_linear_time():
+    rng = random.Random(3)
+    records = [warc.record(i, "u", payload, warc.digest(payload), None) for i in range(64_000) if (payload := rng.randbytes(1024))]
+    records.append(warc.record(70_000, "u", payload := rng.randbytes(9 << 20), warc.digest(payload), None))
+    content = warc.archive(records)
+    assert len(content) > 64 << 20
+    began = time.process_time()
+    assert sum(a == b for a, b in zip(warc.frames(content), records, strict=True)) == len(records)
+    assert time.process_time() - began < 30
+
+
 @pytest.mark.parametrize("damage", ["cut", "length", "digest", "version", "header"])
 def test_damage_is_named(damage):
     good = warc.record(1, "u", b"payload", warc.digest(b"payload"), None)
