@@ -43,7 +43,7 @@ def suffix_weight_sum(events: DataFrame) -> DataFrame:
     return running_sum(events, ["user_id"], [-F.col("event_id")], weight, "suffix_weight")
 
 
-def _mirrored(pairs: DataFrame) -> DataFrame:
+def mirrored(pairs: DataFrame) -> DataFrame:
     """Both directions of (a_product_id, b_product_id, score)."""
     ends = F.array(
         F.struct(F.col("a_product_id").alias("product_id"), F.col("b_product_id").alias("related_id")),
@@ -71,7 +71,7 @@ def cooccurrence_feedback(events: DataFrame) -> DataFrame:
         .groupBy("a_product_id", "b_product_id")
         .agg(F.sum(F.least("a_suffix", "b_suffix")).cast("double").alias("score"))
     )
-    return _mirrored(pairs)
+    return mirrored(pairs)
 
 
 def cooccurrence_realtime(events: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def cooccurrence_realtime(events: DataFrame) -> DataFrame:
     pairs = gains.groupBy(
         F.least("product_id", "other_id").alias("a_product_id"), F.greatest("product_id", "other_id").alias("b_product_id")
     ).agg(F.sum("gain").cast("double").alias("score"))
-    return _mirrored(pairs)
+    return mirrored(pairs)
 
 
 def related_candidates(seen: DataFrame, related: DataFrame) -> DataFrame:

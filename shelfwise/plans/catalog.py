@@ -1094,6 +1094,16 @@ def event_stream(spark, sf):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
+def ordered_stream(spark, events, files=3):
+    """Events as a stream of files that hold successive events, a batch each."""
+    path = shared_path(spark, "stream")
+    ends = events.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
+    place = F.floor((F.col("event_id") - ends["lo"]) * files / (ends["hi"] - ends["lo"] + 1))
+    for k in range(files):  # one after the other: a stream takes files by their time
+        events.where(place == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query
 def stream_session_stats(spark, sf):
     """Sessions closed by the watermark."""
@@ -1112,9 +1122,10 @@ def stream_product_features(spark, sf):
 @query
 def stream_user_features(spark, sf):
     path = shared_path(spark, "user-features")
-    sink = jobs.Snapshots(spark, f"{path}/table")
-    jobs.stream_user_features(event_stream(spark, sf), sink, f"{path}/checkpoint", None).start().awaitTermination()
-    shown = sink.current.withColumns(
+    events = event_stream(spark, sf)
+    table = jobs.user_table(spark, f"{path}/table", events)
+    jobs.stream_user_features(events, table, f"{path}/checkpoint", None).start().awaitTermination()
+    shown = table.read().withColumns(
         {c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("recent_views", "purchased_products")}
     )
     return text_of_time(shown, "last_active")
@@ -1122,13 +1133,22 @@ def stream_user_features(spark, sf):
 
 @query
 def stream_update_recommendations(spark, sf):
+    """The state after all batches; users of earlier batches get their lists by the newest relation, too."""
     path = shared_path(spark, "live-recs")
-    sink = jobs.Snapshots(spark, f"{path}/table")
-    history = jobs.History(spark, f"{path}/history")
-    jobs.stream_update_recommendations(
-        event_stream(spark, sf), history, sink, f"{path}/checkpoint", 100, None
-    ).start().awaitTermination()
-    return sink.current
+    events = event_stream(spark, sf)
+    state = jobs.LiveRecommendations(spark, f"{path}/state", events, 100, buckets=16)
+    jobs.stream_update_recommendations(events, state, f"{path}/checkpoint", None).start().awaitTermination()
+    return state.all_lists()
+
+
+@query
+def stream_item_relation(spark, sf):
+    """The item relation that the batches of a stream leave."""
+    path = shared_path(spark, "live-relation")
+    events = ordered_stream(spark, sessioned(spark, sf))
+    state = jobs.LiveRecommendations(spark, f"{path}/state", events, 10, buckets=16)
+    jobs.stream_update_recommendations(events, state, f"{path}/checkpoint", None).start().awaitTermination()
+    return state.relation.read()
 
 
 @finer_query

@@ -738,6 +738,7 @@ _POP_OF_E = """SELECT product_id AS item_id, row_number() OVER (ORDER BY count(*
     WHERE event_type = 'view' GROUP BY 1"""
 oracle("update_recommendations", "ev", _update("SELECT * FROM ev", _POP_OF_E))
 ORACLES["stream_update_recommendations"] = ORACLES["update_recommendations"]
+ORACLES["stream_item_relation"] = ORACLES["cooccurrence_feedback"]
 oracle("behaviour_recommendations", "ev", _update("""SELECT * FROM ev
     WHERE user_id IN (SELECT user_id FROM ev GROUP BY 1 HAVING count(*) >= 60)
         AND product_id IN (SELECT product_id FROM ev GROUP BY 1 HAVING count(*) >= 11)""", _POP_OF_E))

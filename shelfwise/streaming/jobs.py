@@ -25,7 +25,9 @@ from ..operators.ensemble import (
 )
 from ..operators.ranking import latest_per_key
 from ..operators.sessions import SESSION_COUNTS
-from ..session import shared_path
+from ..session import cut_lineage, shared_path
+from .buckets import BUCKETS, BucketTable
+from .live import LiveRecommendations, live_recommendations
 
 WATERMARK = "10 minutes"
 
@@ -194,30 +196,34 @@ class History:
         return rows.dropDuplicates([self.key]) if self.key in rows.columns else rows
 
 
-def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, every: str | None):
+def run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, every: str | None):
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
 
 
-def stream_user_features(events: DataFrame, sink: Snapshots, checkpoint: str, every: str | None = "10 seconds"):
-    """Writer that merges each batch into the user feature table: counts add up, lists continue."""
+def user_table(spark: SparkSession, path: str, events: DataFrame, buckets: int = BUCKETS) -> BucketTable:
+    """The keyed table of user features for events with these types."""
+    kind = {c: events.schema[c].dataType.simpleString() for c in ("user_id", "product_id", "ts")}
+    schema = (
+        f"user_id {kind['user_id']}, view_count long, purchase_count long, rating_count long, avg_rating double, last_active {kind['ts']}, "
+        f"recent_views array<{kind['product_id']}>, purchased_products array<{kind['product_id']}>"
+    )
+    return BucketTable(spark, path, schema, ["user_id"], buckets=buckets)
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        sink.replace(features.user_event_features(batch, sink.before(batch_id)), batch_id)
 
-    return _run(events, each, checkpoint, every)
+def stream_user_features(events: DataFrame, table: BucketTable, checkpoint: str, every: str | None = "10 seconds"):
+    """Writer that merges each batch into the user feature table: counts add up, lists continue, other users' buckets stay."""
 
+    def each(batch: DataFrame, batch_id: int) -> None:
+        rows = cut_lineage(batch, "batch")
+        table.upsert(features.user_event_features(rows, table.rows_of(rows, batch_id)), batch_id)
 
-def stream_update_recommendations(
-    events: DataFrame, history: History, sink: Snapshots, checkpoint: str, n: int = 100, every: str | None = "30 seconds"
-):
-    """Writer that refreshes everyone's lists from all events so far."""
-    from ..plans.recommend import update_recommendations
+    return run(events, each, checkpoint, every)
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        sink.replace(update_recommendations(history.add(batch, batch_id), n=n), batch_id)
 
-    return _run(events, each, checkpoint, every)
+def stream_update_recommendations(events: DataFrame, state: LiveRecommendations, checkpoint: str, every: str | None = "30 seconds"):
+    """Writer that moves the item relation with each batch and refreshes the lists of its users."""
+    return live_recommendations(events, state, checkpoint, every)
 
 
 def ranked_from_candidates(messages: DataFrame, scorer) -> DataFrame:
@@ -248,7 +254,7 @@ def stream_rank_and_ensemble(
         )
         sink.replace(diversity_penalty(ensemble_weighted_rank(ranked, weights)), batch_id)
 
-    return _run(messages, each, checkpoint, every)
+    return run(messages, each, checkpoint, every)
 
 
 def stream_feedback_weights(
@@ -273,7 +279,7 @@ def stream_feedback_weights(
             stepped = stepped.unionByName(kept)
         users.replace(stepped, batch_id)
 
-    return _run(feedback, each, checkpoint, every)
+    return run(feedback, each, checkpoint, every)
 
 
 def append_stream(df: DataFrame, spark: SparkSession, name: str):
@@ -297,6 +303,6 @@ def update_stream(df: DataFrame, key: str, spark: SparkSession, name: str) -> Da
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
 
-    query = _run(df, each, f"{path}/checkpoint", None).outputMode("update").start()
+    query = run(df, each, f"{path}/checkpoint", None).outputMode("update").start()
     query.awaitTermination()
     return latest_per_key(spark.read.parquet(f"{path}/data"), [key], ["batch"]).drop("batch")

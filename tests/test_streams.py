@@ -46,9 +46,9 @@ def test_user_features_over_several_batches(spark, sf, tmp_path):
     path = str(tmp_path / "in")
     datasets.behaviour(spark, sf).repartitionByRange(3, "event_id").write.parquet(path)
     source = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    sink = jobs.Snapshots(spark, str(tmp_path / "table"))
-    jobs.stream_user_features(source, sink, str(tmp_path / "cp"), None).start().awaitTermination()
-    got = {r["user_id"]: (r["view_count"], r["rating_count"], r["last_active"]) for r in sink.current.collect()}
+    table = jobs.user_table(spark, str(tmp_path / "table"), source)
+    jobs.stream_user_features(source, table, str(tmp_path / "cp"), None).start().awaitTermination()
+    got = {r["user_id"]: (r["view_count"], r["rating_count"], r["last_active"]) for r in table.read().collect()}
     want = features.user_event_features(datasets.behaviour(spark, sf)).collect()
     assert got == {r["user_id"]: (r["view_count"], r["rating_count"], r["last_active"]) for r in want}
 
@@ -60,13 +60,13 @@ def test_user_features_survive_restart_and_replay(spark, tmp_path):
         rows = spark.createDataFrame([(start + i, 1, 10 + start + i, "view", None, None) for i in range(2)], schema)
         rows.coalesce(1).write.mode("append").parquet(path)
         source = spark.readStream.schema(schema).parquet(path)
-        jobs.stream_user_features(source, jobs.Snapshots(spark, table), checkpoint, None).start().awaitTermination()
-    sink = jobs.Snapshots(spark, table)
-    assert sink.current.first()["view_count"] == 4 and sink.current.first()["recent_views"] == [13, 12, 11, 10]
+        jobs.stream_user_features(source, jobs.user_table(spark, table, source), checkpoint, None).start().awaitTermination()
+    held = jobs.user_table(spark, table, source)
+    assert held.read().first()["view_count"] == 4 and held.read().first()["recent_views"] == [13, 12, 11, 10]
     again = spark.read.parquet(path).where("event_id >= 2")
-    last = sink.versions()[-1]
-    sink.replace(features.user_event_features(again, sink.before(last)), last)
-    assert jobs.Snapshots(spark, table).current.first()["view_count"] == 4
+    last = held.versions()[-1]
+    held.upsert(features.user_event_features(again, held.rows_of(again, last)), last)
+    assert jobs.user_table(spark, table, source).read().first()["view_count"] == 4
 
 
 def test_history_counts_an_event_once(spark, tmp_path):
