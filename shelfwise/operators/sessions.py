@@ -15,28 +15,39 @@ SESSION_COUNTS = {
 DRIFT_TYPES = ("view", "add_to_cart", "purchase", "recommend_click")
 
 
-def session_stats(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
-    """One row per session: a session id's events with no pause longer than the gap.
+SUMS = ("events", *SESSION_COUNTS)
 
-    Events are first added up per (session id, minute, product) and per minute,
-    so the ordered step sees minutes, not events, of a busy session id; rows of
-    one minute are never split because the gap is longer.
+
+def session_cells(events: DataFrame) -> DataFrame:
+    """Events added up per (session id, minute, product): first and last moment, first user, counts.
+
+    Cells of parts of a table add up to those of the whole with ``merge_cells``.
     """
-    gap = gap_minutes * 60_000_000
     rows = events.where(
         F.col("user_id").isNotNull()
         & F.col("product_id").isNotNull()
         & F.col("event_type").isNotNull()
         & F.col("session_id").isNotNull()
     ).withColumn("us", F.unix_micros("ts"))
-    cells = rows.groupBy("session_id", F.floor(F.col("us") / 60_000_000).alias("minute"), "product_id").agg(
+    return rows.groupBy("session_id", F.floor(F.col("us") / 60_000_000).alias("minute"), "product_id").agg(
         F.min("us").alias("lo"),
         F.max("us").alias("hi"),
         F.count("*").alias("events"),
         F.min_by("user_id", "us").alias("user_id"),
         *[F.count_if(F.col("event_type") == kind).alias(name) for name, kind in SESSION_COUNTS.items()],
     )
-    sums = ["events", *SESSION_COUNTS]
+
+
+def merge_cells(cells: DataFrame) -> DataFrame:
+    """One row per cell of several tables of cells."""
+    return cells.groupBy("session_id", "minute", "product_id").agg(
+        F.min_by("user_id", "lo").alias("user_id"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), *[F.sum(c).alias(c) for c in SUMS]
+    )
+
+
+def sessions_of(cells: DataFrame, gap_minutes: int = 30) -> DataFrame:
+    """(session_id, start, user_id, hi, products, counts): a session id's cells without a pause longer than the gap, in microseconds."""
+    gap = gap_minutes * 60_000_000
     minutes = cells.groupBy("session_id", "minute").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     order = W.partitionBy("session_id").orderBy("minute")
     starts = F.when(F.col("lo") - F.lag("hi").over(order) <= gap, F.lit(None)).otherwise(F.col("lo"))
@@ -52,26 +63,32 @@ def session_stats(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
             F.min_by("user_id", "lo").alias("user_id"),
             F.min("lo").alias("lo"),
             F.max("hi").alias("hi"),
-            *[F.sum(c).alias(c) for c in sums],
+            *[F.sum(c).alias(c) for c in SUMS],
         )
     )
-    return (
-        per_product.groupBy("session_id", "start")
-        .agg(
-            F.min_by("user_id", "lo").alias("user_id"),
-            F.max("hi").alias("hi"),
-            F.count("*").alias("products"),
-            *[F.sum(c).alias(c) for c in sums],
-        )
-        .select(
-            "session_id",
-            "user_id",
-            F.timestamp_micros("start").alias("start_time"),
-            F.timestamp_micros("hi").alias("last_time"),
-            "events",
-            "products",
-            *SESSION_COUNTS,
-        )
+    return per_product.groupBy("session_id", "start").agg(
+        F.min_by("user_id", "lo").alias("user_id"),
+        F.max("hi").alias("hi"),
+        F.count("*").alias("products"),
+        *[F.sum(c).alias(c) for c in SUMS],
+    )
+
+
+def session_stats(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
+    """One row per session: a session id's events with no pause longer than the gap.
+
+    Events are first added up per (session id, minute, product) and per minute,
+    so the ordered step sees minutes, not events, of a busy session id; rows of
+    one minute are never split because the gap is longer.
+    """
+    return sessions_of(session_cells(events), gap_minutes).select(
+        "session_id",
+        "user_id",
+        F.timestamp_micros("start").alias("start_time"),
+        F.timestamp_micros("hi").alias("last_time"),
+        "events",
+        "products",
+        *SESSION_COUNTS,
     )
 
 
@@ -156,13 +173,24 @@ def _drift(df: DataFrame, threshold: float) -> DataFrame:
 
 
 def drift_timeline(events: DataFrame, baseline: DataFrame, minutes: int = 60, slide: int = 1, threshold: float = 0.2) -> DataFrame:
-    """Drift of every sliding window; works on tables and, with a watermark, on streams."""
+    """Drift of every sliding window; works on tables and, with a watermark, on streams.
+
+    Events are counted per slide first, and windows add up slides: a row stands in
+    ``minutes / slide`` windows for a slide's events together, not for each event.
+    """
+    if minutes % slide:
+        raise ValueError("a window is a whole number of slides")
     kind = F.col("event_type")
-    counted = (
+    per_slide = (
         events.where(kind.isin(*DRIFT_TYPES))
-        .groupBy(F.window("ts", f"{minutes} minutes", f"{slide} minutes").alias("w"))
+        .groupBy(F.window("ts", f"{slide} minutes").alias("s"))
         .agg(F.count("*").alias("total"), *[F.count_if(kind == k).alias(k) for k in DRIFT_TYPES])
     )
+    counted = (
+        per_slide.withColumn("at", F.window_time("s"))
+        .groupBy(F.window("at", f"{minutes} minutes", f"{slide} minutes").alias("w"))
+        .agg(*[F.sum(c).alias(c) for c in ("total", *DRIFT_TYPES)])
+    )
     # Shares of the baseline are numbers by the time a stream starts.
     reference = type_shares(baseline).select("shares").first()["shares"]
     shares = F.struct(*[(F.col(k) / F.col("total")).alias(k) for k in DRIFT_TYPES])

@@ -35,6 +35,7 @@ from ..session import cut_lineage, shared_path, tune
 from ..sources import files, messages
 from ..scale import dense_index
 from ..streaming import jobs
+from ..streaming.behaviour import BehaviourWindow, stream_behaviour_window as behaviour_stream
 from . import recommend
 from .oracles import STOP_WORDS
 
@@ -1094,11 +1095,11 @@ def event_stream(spark, sf):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-def ordered_stream(spark, events, files=3):
+def ordered_stream(spark, events, by="event_id", files=3):
     """Events as a stream of files that hold successive events, a batch each."""
-    path = shared_path(spark, "stream")
-    ends = events.agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi")).first()
-    place = F.floor((F.col("event_id") - ends["lo"]) * files / (ends["hi"] - ends["lo"] + 1))
+    path, order = shared_path(spark, "stream"), F.expr(by)
+    ends = events.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    place = F.floor((order - ends["lo"]) * files / (ends["hi"] - ends["lo"] + 1))
     for k in range(files):  # one after the other: a stream takes files by their time
         events.where(place == k).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
@@ -1114,6 +1115,33 @@ def stream_session_stats(spark, sf):
     return text_of_time(out, "start_time", "last_time")
 
 
+@query
+def stream_behaviour_window(spark, sf):
+    """The statistics at the newest event of each of three batches."""
+    path = shared_path(spark, "live-behaviour")
+    events = ordered_stream(spark, d.behaviour(spark, sf), "unix_micros(ts)")
+    state = BehaviourWindow(spark, f"{path}/state", events, 240, buckets=16)
+    behaviour_stream(events, state, f"{path}/checkpoint", None).start().awaitTermination()
+    return text_of_time(state.summaries(), "as_of")
+
+
+@query
+def drift_timeline(spark, sf):
+    ev = d.behaviour(spark, sf)
+    baseline = ev.groupBy("event_type").agg(F.count("*").alias("n"))
+    return text_of_time(sessions.drift_timeline(ev, baseline, 240, 30, 0.1), "start", "end")
+
+
+@query
+def stream_drift_timeline(spark, sf):
+    """Windows that the watermark has closed."""
+    ev = d.behaviour(spark, sf)
+    baseline = ev.groupBy("event_type").agg(F.count("*").alias("n"))
+    stream = ordered_stream(spark, ev, "unix_micros(ts)")
+    windows = sessions.drift_timeline(stream.withWatermark("ts", "10 minutes"), baseline, 240, 30, 0.1)
+    return text_of_time(jobs.append_stream(windows, spark, "drift"), "start", "end")
+
+
 @query
 def stream_product_features(spark, sf):
     return jobs.update_stream(jobs.stream_product_features(event_stream(spark, sf)), "product_id", spark, "product-features")

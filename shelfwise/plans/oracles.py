@@ -781,18 +781,30 @@ oracle("stream_session_stats", "sess", f"""
         views, add_to_carts, purchases, recommend_clicks FROM sess
     WHERE last_time + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE""")
 _AS_OF = "TIMESTAMP '2024-01-15 12:00:00'"
-_WIN = CTES["sess"].replace("FROM ev)", f"FROM ev WHERE ts <= {_AS_OF})").replace("INTERVAL 30 MINUTE", "INTERVAL 240 MINUTE")
-_BEHAVIOUR = f"""ses AS ({_WIN}), act AS (SELECT * FROM ses WHERE last_time >= {_AS_OF} - INTERVAL 240 MINUTE),
+
+
+def _behaviour(at: str) -> str:
+    """CTEs ending in b: the statistics of the 240 minutes before a moment."""
+    win = CTES["sess"].replace("FROM ev)", f"FROM ev WHERE ts <= {at})").replace("INTERVAL 30 MINUTE", "INTERVAL 240 MINUTE")
+    return f"""ses AS ({win}), act AS (SELECT * FROM ses WHERE last_time >= {at} - INTERVAL 240 MINUTE),
     b AS (SELECT count(*) AS active_sessions, CAST(sum(events) AS BIGINT) AS total_events, CAST(sum(views) AS BIGINT) AS total_views,
         CAST(sum(add_to_carts) AS BIGINT) AS total_add_to_carts, CAST(sum(purchases) AS BIGINT) AS total_purchases,
         CAST(sum(recommend_clicks) AS BIGINT) AS total_recommend_clicks,
-        (SELECT count(DISTINCT user_id) FROM ev WHERE ts <= {_AS_OF} AND ts >= {_AS_OF} - INTERVAL 240 MINUTE) AS active_users,
+        (SELECT count(DISTINCT user_id) FROM ev WHERE ts <= {at} AND ts >= {at} - INTERVAL 240 MINUTE) AS active_users,
         {r('sum(events) / count(*)')} AS avg_session_length, {r('sum(products) / count(*)')} AS avg_session_products,
         {r('CASE WHEN sum(views) > 0 THEN sum(add_to_carts) / sum(views) ELSE 0 END')} AS view_to_cart_rate,
         {r('CASE WHEN sum(add_to_carts) > 0 THEN sum(purchases) / sum(add_to_carts) ELSE 0 END')} AS cart_to_purchase_rate,
         {r('CASE WHEN sum(views) > 0 THEN sum(recommend_clicks) / sum(views) ELSE 0 END')} AS recommendation_click_rate
         FROM act HAVING count(*) > 0)"""
+
+
+_BEHAVIOUR = _behaviour(_AS_OF)
 oracle("behaviour_window", "ev", f"WITH {_BEHAVIOUR} SELECT * FROM b")
+# The newest events of the first third of the time, of the first two thirds, and of all.
+oracle("stream_behaviour_window", "ev", " UNION ALL ".join(
+    f"SELECT * FROM (WITH {_behaviour(at)} SELECT b.*, strftime({at}, {TS}) AS as_of FROM b)"
+    for at in (f"""(SELECT max(ts) FROM ev WHERE (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM ev)) * 3
+        // ((SELECT max(epoch_us(ts)) - min(epoch_us(ts)) + 1 FROM ev)) <= {k})""" for k in range(3))))
 _METRICS = ("active_sessions", "total_events", "total_views", "total_add_to_carts", "total_purchases", "total_recommend_clicks",
             "active_users", "avg_session_length", "avg_session_products", "view_to_cart_rate", "cart_to_purchase_rate",
             "recommendation_click_rate")
@@ -807,6 +819,21 @@ oracle("drift_detect", "ev", f"""
     f"abs((SELECT count(*) FILTER (event_type = '{k}') / count(*) FROM b) - (SELECT count(*) FILTER (event_type = '{k}') / count(*) FROM w))"
     for k in _KINDS) + f""") / 4 AS drift_score)
     SELECT total, {r('drift_score')} AS drift_score, drift_score > 0.02 AS alert FROM d""")
+
+
+def _timeline(closed: str) -> str:
+    shares = " + ".join(
+        f"abs((SELECT count(*) FILTER (event_type = '{k}') / count(*) FROM b) - count(*) FILTER (event_type = '{k}') / count(*))" for k in _KINDS)
+    return f"""
+    WITH b AS (SELECT * FROM ev WHERE {_IN}),
+        w AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '2000-01-01') - INTERVAL 30 MINUTE * k AS start, event_type FROM b, range(0, 8) t(k)),
+        d AS (SELECT start, start + INTERVAL 240 MINUTE AS end_time, count(*) AS total, ({shares}) / 4 AS drift_score FROM w GROUP BY start)
+    SELECT strftime(start, {TS}) AS start, strftime(end_time, {TS}) AS "end", total, {r('drift_score')} AS drift_score,
+        drift_score > 0.1 AS alert FROM d {closed}"""
+
+
+oracle("drift_timeline", "ev", _timeline(""))
+oracle("stream_drift_timeline", "ev", _timeline("WHERE end_time <= (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE"))
 oracle("stream_product_features", "ev", _PRODUCT_EVENTS)
 ORACLES["stream_user_features"] = ORACLES["user_event_features"]
 oracle("stream_rank_and_ensemble", "lst", f"""
