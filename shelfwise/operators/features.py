@@ -126,25 +126,41 @@ def normalize_ratings(ratings: DataFrame, train: DataFrame | None = None, epsilo
     )
 
 
-def terms(df: DataFrame, key: str, col: str, ngrams: tuple[int, int], stop_words: Sequence[str]) -> DataFrame:
-    """(key, term, tf): counts of word n-grams, lower-cased, of two or more letters or digits, stop words left out."""
+def words_of(df: DataFrame, key: str, col: str, stop_words: Sequence[str]) -> DataFrame:
+    """(key, _row, w): the lower-cased words of two or more letters or digits without stop words, written.
+
+    A table of less than a file split per shuffle partition is dealt by key first: it may
+    be a single row group, which one task would read alone.
+    """
     words = F.filter(
         F.regexp_extract_all(F.lower(F.coalesce(F.col(col), F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1),
         lambda w: ~w.isin(*stop_words) if stop_words else F.lit(True),
     )
-    staged = df.select(key, words.alias("w"))
-    size = F.size("w")
-    grams = []
-    for n in range(ngrams[0], ngrams[1] + 1):
-        starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-        grams.append(_joined_runs(starts, n))
-    return (
-        staged.select(key, F.explode(F.concat(*grams)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    )
+    texts = df.select(key, col)
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < parts * split:
+        texts = texts.repartition(parts, key)
+    return cut_lineage(texts.select(key, F.monotonically_increasing_id().alias("_row"), words.alias("w")), "words")
+
 
+def terms(texts: DataFrame, key: str, ngrams: tuple[int, int], frequent: DataFrame) -> DataFrame:
+    """(key, term, tf): counts of the n-grams of successive words that are all ``frequent``.
 
-def _joined_runs(starts: Column, n: int) -> Column:
-    return F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
+    A term is in no more texts than each of its words, so others cannot reach the
+    frequency either; most n-grams are never made.
+    """
+    rows = texts.select(key, "_row", F.posexplode("w").alias("pos", "word")).join(frequent, "word", "left_semi").repartition(key)
+    order = W.partitionBy(key, "_row").orderBy("pos")
+    ahead = {f"_w{k}": F.lead("word", k).over(order) for k in range(1, ngrams[1])}
+    ahead |= {f"_p{k}": F.lead("pos", k).over(order) for k in range(1, ngrams[1])}
+    grams = []
+    for n in range(ngrams[0], ngrams[1] + 1):
+        run = F.concat_ws(" ", "word", *[f"_w{k}" for k in range(1, n)])
+        grams.append(run if n == 1 else F.when(F.col(f"_p{n - 1}") == F.col("pos") + n - 1, run))
+    listed = rows.withColumns(ahead) if ahead else rows
+    return listed.select(key, F.explode(F.array_compact(F.array(*grams))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf_features(
@@ -161,13 +177,19 @@ def tfidf_features(
 
     Terms must occur in at least a ``min_df`` share of the texts. There are at most
     (distinct terms per text) / min_df of those, so the vocabulary is normally
-    small enough to be sent to the counts, which then need no shuffle by term.
+    small enough to be sent to the counts, which then need no shuffle by term. Words
+    are counted first, and only runs of words that reach the share become terms.
     """
     stop = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else list(stop_words)
     total = fit.agg(F.count("*")).scalar()
+    texts = words_of(df, key, col, stop)
+    fit_texts = texts if fit is df else words_of(fit, key, col, stop)
+    # Rows that share a key count once each here, as one text below: never fewer than the texts with the word.
+    single = fit_texts.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    frequent = cut_lineage(single.where(F.col("df") >= min_df * total).select("word"), "frequent")
     # Written once: the vocabulary, the weights and the norms all read the counts.
-    counts = cut_lineage(terms(df, key, col, ngrams, stop), "terms")
-    fitted = counts if fit is df else terms(fit, key, col, ngrams, stop)
+    counts = cut_lineage(terms(texts, key, ngrams, frequent), "terms")
+    fitted = counts if fit is df else terms(fit_texts, key, ngrams, frequent)
     vocabulary = (
         fitted.groupBy("term")
         .agg(F.count("*").alias("df"))

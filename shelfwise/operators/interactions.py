@@ -181,16 +181,17 @@ def unseen_items(users: DataFrame, catalogue: DataFrame, seen: DataFrame) -> Dat
     return nth_unseen(listed, known).join(index, "idx").select("user_id", "item_id")
 
 
-def nth_unseen(draws: DataFrame, seen_index: DataFrame) -> DataFrame:
+def nth_unseen(draws: DataFrame, seen_index: DataFrame, written: bool = False) -> DataFrame:
     """Turn the 0-based position among a user's unseen items into a catalogue index.
 
     ``draws`` is (user_id, draw_id, nth), ``seen_index`` the distinct (user_id, idx)
     a user has touched. The j-th seen index (from 0) precedes position r exactly
     when idx - j <= r, so one running count over draws and seen indexes in that
-    order answers every draw; the work is linear in both.
+    order answers every draw; the work is linear in both. ``written`` says that
+    ``seen_index`` is read from a written table.
     """
     seen = (
-        running_sum(seen_index, ["user_id"], [F.col("idx")], F.lit(1).cast("long"), "j")
+        running_sum(seen_index, ["user_id"], [F.col("idx")], F.lit(1).cast("long"), "j", written=written)
         .select(
             "user_id",
             F.lit(None).cast("long").alias("draw_id"),
@@ -250,6 +251,7 @@ def sample_negatives(positives: DataFrame, n: int = 4, per: str = "user", seed:
     drawn = nth_unseen(
         slots.where(F.col("unseen") > 0).select("user_id", "draw_id", F.least("nth", F.col("unseen") - 1).alias("nth")),
         indexed.select("user_id", "idx"),
+        written=True,
     )
     anything = slots.where(F.col("unseen") == 0).select(
         "user_id", "draw_id", F.floor(F.col("u") * F.col("total")).cast("long").alias("idx")

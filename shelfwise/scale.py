@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .session import cut_lineage
 
-CHUNK_ROWS = 100_000
+# Rows of one key that a task sorts; a few dozen MB.
+CHUNK_ROWS = 1_000_000
 MOST_CHUNKS = 1 << 16
 
 
@@ -51,15 +52,18 @@ def running_sum(
     value: Column,
     out: str,
     chunks: int | None = None,
+    written: bool = False,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over this and all earlier rows of the key.
 
     ``order`` sorts ascending and must be unique within a key; a null key is a key.
-    The rows are written first, so the input is computed once, and their number
-    sets the number of chunks: a task sees no more than about ``CHUNK_ROWS`` rows of
+    The rows are written first (unless the caller says that they come from a
+    ``written`` table), so the input is computed once, and their number sets the
+    number of chunks: a task sees no more than about ``CHUNK_ROWS`` rows of
     a key. The totals ordered per key are one row per chunk.
     """
-    stored = cut_lineage(df.withColumn("_value", value), "rows")
+    valued = df.withColumn("_value", value)
+    stored = valued if written else cut_lineage(valued, "rows")
     if chunks is None:
         chunks = min(MOST_CHUNKS, -(-stored.count() // CHUNK_ROWS))
     staged = with_chunk(stored, order, "_chunk", max(1, chunks))
