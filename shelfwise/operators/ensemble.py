@@ -124,17 +124,29 @@ def _clamp(x: Column) -> Column:
     return F.greatest(F.lit(LOWEST_WEIGHT), F.least(F.lit(HIGHEST_WEIGHT), x))
 
 
-def model_success_weights(attributed: DataFrame, weights: Mapping[str, float], min_feedback: int = 100) -> DataFrame:
-    """(model, weight): each model with enough feedback moves a fifth of the way to its success rate."""
+def success_counts(attributed: DataFrame) -> DataFrame:
+    """(model, feedback, clicks, purchases, ratings, rating_sum): counts that add up over parts of the feedback."""
     kind = F.col("event_type")
-    known = attributed.where(kind.isin("click", "purchase", "rating", "view_time"))
-    rating = F.coalesce(F.avg(F.when(kind == "rating", F.col("value"))), F.lit(0.0))
-    total = F.count("*")
-    success = 0.3 * F.count_if(kind == "click") / total + 0.5 * F.count_if(kind == "purchase") / total + 0.2 * rating / 5
-    measured = known.groupBy("model").agg(total.alias("feedback"), success.alias("success"))
+    rated = F.when(kind == "rating", F.col("value"))
+    return attributed.where(kind.isin("click", "purchase", "rating", "view_time")).groupBy("model").agg(
+        F.count("*").alias("feedback"), F.count_if(kind == "click").alias("clicks"), F.count_if(kind == "purchase").alias("purchases"),
+        F.count(rated).alias("ratings"), F.coalesce(F.sum(rated), F.lit(0.0)).cast("double").alias("rating_sum"),
+    )
+
+
+def success_weights(counts: DataFrame, weights: Mapping[str, float], min_feedback: int = 100) -> DataFrame:
+    """(model, feedback, success, weight): each model with enough feedback moves a fifth of the way to its success rate."""
+    total = F.col("feedback")
+    rating = F.when(F.col("ratings") > 0, F.col("rating_sum") / F.col("ratings")).otherwise(0.0)
+    success = 0.3 * F.col("clicks") / total + 0.5 * F.col("purchases") / total + 0.2 * rating / 5
     old = weight_of(F.col("model"), weights, UNKNOWN_WEIGHT)
-    new = F.when(F.col("feedback") >= min_feedback, _clamp(0.8 * old + 0.2 * F.col("success"))).otherwise(old)
-    return measured.select("model", "feedback", "success", new.alias("weight"))
+    new = F.when(total >= min_feedback, _clamp(0.8 * old + 0.2 * F.col("success"))).otherwise(old)
+    return counts.withColumn("success", success).select("model", "feedback", "success", new.alias("weight"))
+
+
+def model_success_weights(attributed: DataFrame, weights: Mapping[str, float], min_feedback: int = 100) -> DataFrame:
+    """(model, feedback, success, weight): each model with enough feedback moves a fifth of the way to its success rate."""
+    return success_weights(success_counts(attributed), weights, min_feedback)
 
 
 def user_model_weights(

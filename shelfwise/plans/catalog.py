@@ -1188,22 +1188,26 @@ def stream_rank_and_ensemble(spark, sf):
         "ts", F.lit(NOW).cast("timestamp")
     ).write.parquet(f"{path}/messages")
     stream = spark.readStream.schema(spark.read.parquet(f"{path}/messages").schema).parquet(f"{path}/messages")
-    sink = jobs.Snapshots(spark, f"{path}/table")
-    history = jobs.History(spark, f"{path}/history")
-    jobs.stream_rank_and_ensemble(
-        stream, F.col("score") * 2, ensemble.STAGE_WEIGHTS, history, sink, f"{path}/checkpoint", every=None
-    ).start().awaitTermination()
-    return sink.current.select("user_id", "item_id", "score", "rank")
+    state = jobs.EnsembleLists(spark, f"{path}/state", stream, ensemble.STAGE_WEIGHTS, buckets=16)
+    jobs.stream_rank_and_ensemble(stream, F.col("score") * 2, state, f"{path}/checkpoint", None).start().awaitTermination()
+    return state.lists.read()
 
 
-@query
-def stream_feedback_weights(spark, sf):
+def feedback_weights(spark, sf):
+    """The state after all feedback came in one batch."""
     path = shared_path(spark, "weights")
     feedback(spark, sf).coalesce(1).write.parquet(f"{path}/feedback")
     stream = spark.readStream.schema(spark.read.parquet(f"{path}/feedback").schema).parquet(f"{path}/feedback")
-    models, users = jobs.Snapshots(spark, f"{path}/models"), jobs.Snapshots(spark, f"{path}/users")
-    jobs.stream_feedback_weights(
-        stream, lists(spark, sf), ensemble.MINMAX_WEIGHTS, models, users, f"{path}/checkpoint",
-        jobs.History(spark, f"{path}/history"), every=None,
-    ).start().awaitTermination()
-    return users.current
+    state = jobs.FeedbackWeights(spark, f"{path}/state", stream, ensemble.MINMAX_WEIGHTS, buckets=16)
+    jobs.stream_feedback_weights(stream, lists(spark, sf), state, f"{path}/checkpoint", None).start().awaitTermination()
+    return state
+
+
+@query
+def stream_feedback_weights(spark, sf):
+    return feedback_weights(spark, sf).users.read()
+
+
+@query
+def stream_model_weights(spark, sf):
+    return feedback_weights(spark, sf).models.read()

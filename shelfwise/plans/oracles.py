@@ -840,3 +840,4 @@ oracle("stream_rank_and_ensemble", "lst", f"""
     WITH {_ENS.format(f='2 * ')}, d AS (SELECT user_id, item_id, {_PEN} AS score FROM ek)
     SELECT user_id, item_id, {r('score', 12)} AS score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM d""")
 oracle("stream_feedback_weights", "att", _FOLD)
+ORACLES["stream_model_weights"] = ORACLES["model_success_weights"]

@@ -1,9 +1,8 @@
 """Structured Streaming versions of the event operators.
 
-Counting jobs keep their totals as Spark state and overwrite the touched keys;
-jobs whose result depends on all events so far append to a history table and
-run the batch operator on it in ``foreachBatch``. A replayed batch gives its version
-again, and history is deduplicated on ``event_id``.
+Counting jobs keep their totals as Spark state and overwrite the touched keys; jobs
+whose result depends on all events so far keep what they need of them in bucketed
+tables. A replayed batch gives its version again.
 """
 
 from __future__ import annotations
@@ -16,19 +15,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import features
-from ..operators.ensemble import (
-    attribute_feedback,
-    diversity_penalty,
-    ensemble_weighted_rank,
-    model_success_weights,
-    user_model_weights,
-)
 from ..operators.ranking import latest_per_key
 from ..operators.sessions import SESSION_COUNTS
 from ..session import cut_lineage, shared_path
 from .buckets import BUCKETS, BucketTable
+from .feedback import EnsembleLists, FeedbackWeights, ranked_from_candidates, stream_feedback_weights, stream_rank_and_ensemble
 from .live import LiveRecommendations, live_recommendations
 
+__all__ = [
+    "EnsembleLists", "FeedbackWeights", "History", "LiveRecommendations", "append_stream", "live_sessions", "ranked_from_candidates", "running_counts",
+    "session_stats_stream", "stream_feedback_weights", "stream_product_features", "stream_rank_and_ensemble", "stream_update_recommendations",
+    "stream_user_features", "update_stream", "user_table",
+]
+
 WATERMARK = "10 minutes"
 
 
@@ -147,43 +146,6 @@ def stream_product_features(events: DataFrame) -> DataFrame:
     )
 
 
-class Snapshots:
-    """Numbered versions of a table below one folder.
-
-    The folder is the state: a new object finds the complete versions that an
-    earlier one wrote, so a job goes on after a restart. Version k builds on the
-    newest complete version below k, so a batch that runs again gives the same
-    version again.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def versions(self) -> list[int]:
-        """Numbers of the complete versions, ascending."""
-        jvm = self.spark._jvm
-        marks = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v*/_SUCCESS")
-        found = marks.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(marks)
-        return sorted(int(f.getPath().getParent().getName()[1:]) for f in found or [])
-
-    def before(self, version: int) -> DataFrame | None:
-        """The table that this version builds on."""
-        older = [v for v in self.versions() if v < version]
-        return self.spark.read.parquet(f"{self.path}/v{older[-1]}") if older else None
-
-    @property
-    def current(self) -> DataFrame | None:
-        """The newest complete version."""
-        found = self.versions()
-        return self.spark.read.parquet(f"{self.path}/v{found[-1]}") if found else None
-
-    def replace(self, df: DataFrame, version: int) -> DataFrame:
-        """Write the version, again if its batch is replayed."""
-        target = f"{self.path}/v{version}"
-        df.write.mode("overwrite").parquet(target)
-        return self.spark.read.schema(df.schema).parquet(target)
-
-
 class History:
     """All events so far, one folder per batch; each event counts once, whichever batches brought it."""
 
@@ -226,62 +188,6 @@ def stream_update_recommendations(events: DataFrame, state: LiveRecommendations,
     return live_recommendations(events, state, checkpoint, every)
 
 
-def ranked_from_candidates(messages: DataFrame, scorer) -> DataFrame:
-    """(user_id, source_model, ts, item_id, score, original_score, ...) rows, one per listed candidate."""
-    rows = messages.select("user_id", "source_model", "ts", F.explode("candidates").alias("c")).select(
-        "user_id", "source_model", "ts", "c.item_id", "c.score", "c.model"
-    )
-    scored = rows.withColumn("original_score", F.col("score"))
-    return scored.withColumn("score", scorer(scored) if callable(scorer) else scorer)
-
-
-def stream_rank_and_ensemble(
-    messages: DataFrame, scorer, weights, history: History, sink: Snapshots, checkpoint: str,
-    max_age_seconds: int = 3600, every: str | None = "10 seconds",
-):
-    """Writer: candidate lists are re-scored, the newest list per user and model is kept for an hour, lists are combined."""
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        scored = ranked_from_candidates(batch, scorer)
-        lists = scored.groupBy("user_id", "source_model", "ts").agg(
-            F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "item_id"))).alias("items")
-        )
-        everything = history.add(lists, batch_id)
-        now = everything.agg(F.max("ts").cast("string")).first()[0]
-        newest = latest_per_key(everything, ["user_id", "source_model"], ["ts"], max_age_seconds, now)
-        ranked = newest.select("user_id", F.col("source_model").alias("model"), F.posexplode("items").alias("pos", "i")).select(
-            "user_id", "model", F.col("i.item_id").alias("item_id"), (-F.col("i.neg")).alias("score"), (F.col("pos") + 1).alias("rank")
-        )
-        sink.replace(diversity_penalty(ensemble_weighted_rank(ranked, weights)), batch_id)
-
-    return run(messages, each, checkpoint, every)
-
-
-def stream_feedback_weights(
-    feedback: DataFrame, recs: DataFrame, weights: dict[str, float], models: Snapshots, users: Snapshots, checkpoint: str,
-    history: History, min_feedback: int = 100, every: str | None = "10 seconds",
-):
-    """Writer: global weights move once per batch over all feedback so far, user weights step through the batch.
-
-    How far the global weights move thus depends on the trigger; each version is kept.
-    """
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        everything = attribute_feedback(history.add(batch, batch_id), recs)
-        before = dict(weights)
-        if (held := models.before(batch_id)) is not None:
-            before |= {r["model"]: r["weight"] for r in held.select("model", "weight").collect()}
-        models.replace(model_success_weights(everything, before, min_feedback), batch_id)
-        own = users.before(batch_id)
-        stepped = user_model_weights(attribute_feedback(batch, recs), before, own)
-        if own is not None:
-            kept = own.join(stepped.select("user_id", "model"), ["user_id", "model"], "left_anti")
-            stepped = stepped.unionByName(kept)
-        users.replace(stepped, batch_id)
-
-    return run(feedback, each, checkpoint, every)
-
-
 def append_stream(df: DataFrame, spark: SparkSession, name: str):
     """Run an append stream over what is available into a table in the shared folder, and read it back."""
     path = shared_path(spark, name)
