@@ -35,6 +35,7 @@ from ..session import cut_lineage, shared_path, tune
 from ..sources import files, messages
 from ..scale import dense_index
 from ..streaming import jobs
+from ..streaming.bandit import OnlineBandit, stream_linucb as bandit_stream
 from ..streaming.behaviour import BehaviourWindow, stream_behaviour_window as behaviour_stream
 from . import recommend
 from .oracles import STOP_WORDS
@@ -660,11 +661,8 @@ def model_metric_average(spark, sf):
     return evaluation.model_metric_average(rows)
 
 
-@query
-def linucb_fit(spark, sf):
+def fit_residuals(log, fitted):
     """The summed rewards b of each arm, and how far the fitted weights are from solving (I + X'X) theta = b."""
-    log = bandit_log(spark, sf)
-    fitted = bandit.linucb_fit(log)
     x = F.transform(F.slice("context", 1, 10), lambda v: v.cast("double"))
     rows = log.join(fitted.select("arm", "theta"), "arm").withColumn("x", x).withColumn("fit", dot(F.col("x"), F.col("theta")))
     sums = rows.select("arm", "theta", "fit", "reward", F.posexplode("x").alias("pos", "v")).groupBy("arm", "pos").agg(
@@ -673,6 +671,32 @@ def linucb_fit(spark, sf):
     return sums.select("arm", "pos", F.round("b", 6).alias("reward_sum"), F.round(F.abs(F.col("ax") + F.col("theta") - F.col("b")), 6).alias("residual"))
 
 
+@query
+def linucb_fit(spark, sf):
+    log = bandit_log(spark, sf)
+    return fit_residuals(log, bandit.linucb_fit(log))
+
+
+@query
+def stream_linucb(spark, sf):
+    """Arms that a stream of four batches has fitted."""
+    path = shared_path(spark, "bandit")
+    log = bandit_log(spark, sf)
+    log.repartition(4).write.parquet(f"{path}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/log")
+    state = OnlineBandit(spark, f"{path}/state", stream, buckets=8)
+    bandit_stream(stream, state, f"{path}/checkpoint", None).start().awaitTermination()
+    return fit_residuals(log, state.arms.read())
+
+
+@query
+def linucb_select_fitted(spark, sf):
+    """The whole way in two dimensions: fit on the log, then an arm for every context."""
+    log = bandit_log(spark, sf)
+    contexts = d.vectors(spark, sf).select("item_id", F.slice("features", 1, 2).alias("context"))
+    return bandit.linucb_select(contexts, bandit.linucb_fit(log, 2)).select("item_id", "arm", "ucb")
+
+
 @query
 def linucb_select(spark, sf):
     """Arms with the mean context as weights and a scaled unit matrix as spread."""

@@ -523,6 +523,15 @@ oracle("linucb_select", "log", f"""
         u AS (SELECT item_id, t.arm, list_dot_product(theta, context) + 0.1 * sqrt(list_dot_product(context, context) / n) AS ucb
             FROM log, t JOIN n ON n.arm = t.arm)
     SELECT item_id, arm, {r('ucb')} AS ucb FROM u QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY ucb DESC, arm) = 1""")
+ORACLES["stream_linucb"] = ORACLES["linucb_fit"]
+oracle("linucb_select_fitted", "log", f"""
+    WITH x AS (SELECT arm, reward::DOUBLE AS y, context[1]::DOUBLE AS p, context[2]::DOUBLE AS q FROM log),
+        m AS (SELECT arm, 1 + sum(p * p) AS a, sum(p * q) AS b, 1 + sum(q * q) AS d, sum(p * y) AS u, sum(q * y) AS v FROM x GROUP BY arm),
+        i AS (SELECT arm, d / (a * d - b * b) AS a, -b / (a * d - b * b) AS b, a / (a * d - b * b) AS d, u, v FROM m),
+        c AS (SELECT item_id, context[1] AS p, context[2] AS q FROM log),
+        s AS (SELECT item_id, arm, (a * u + b * v) * p + (b * u + d * v) * q
+            + 0.1::DOUBLE * sqrt(a * p * p + 2 * b * p * q + d * q * q) AS ucb FROM c, i)
+    SELECT item_id, arm, {r('ucb')} AS ucb FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY ucb DESC, arm) = 1""")
 oracle("arm_stats", "log", f"""
     SELECT arm, count(*) AS num_pulls, {r('avg(reward)')} AS avg_reward,
         {r("CASE WHEN count(*) > 1 THEN 1.96 * stddev_pop(reward) / sqrt(count(*)) ELSE 'inf'::DOUBLE END")} AS confidence
