@@ -816,6 +816,42 @@ def mf_recommend(spark, sf):
     return factors.mf_recommend(u, i, 10)
 
 
+def equation_gaps(ratings, users, items, reg=0.1):
+    """(user_id, ratings, solved): whether each user's factors solve the regularised least squares over the user's ratings."""
+    own = users.select("user_id", F.col("features").cast("array<double>").alias("u"))
+    other = items.select("item_id", F.col("features").cast("array<double>").alias("v"))
+    rows = ratings.select("user_id", "item_id", F.col("rating").cast("double").alias("rating")).join(own, "user_id").join(other, "item_id")
+    miss = rows.withColumn("miss", dot(F.col("u"), F.col("v")) - F.col("rating"))
+    per_axis = miss.select("user_id", "rating", "miss", "u", F.posexplode("v").alias("pos", "x")).groupBy("user_id", "pos").agg(
+        F.sum(F.col("miss") * F.col("x")).alias("g"), F.count("*").alias("n"), F.first(F.get("u", F.col("pos"))).alias("w"), F.sum(F.abs(F.col("rating") * F.col("x"))).alias("size")
+    )
+    gap = F.abs(F.col("g") + reg * F.col("n") * F.col("w")) <= 1e-4 * (1 + F.col("size"))
+    return per_axis.groupBy("user_id").agg(F.max("n").alias("ratings"), F.every(gap).alias("solved"))
+
+
+def score_ratings(spark, sf):
+    return one_model(spark, sf).select("user_id", "item_id", F.col("score").alias("rating"))
+
+
+@query
+def mf_fit(spark, sf):
+    """Whether every user's factors solve the last half-step of the fit."""
+    rows = cut_lineage(score_ratings(spark, sf), "ratings")
+    users, items = factors.mf_fit(rows)
+    return equation_gaps(rows, users, items)
+
+
+@query
+def mf_update(spark, sf):
+    """A fit on nine tenths of the ratings, updated with the rest: the users of the batch and their equations."""
+    rows = cut_lineage(score_ratings(spark, sf), "ratings")
+    late = (F.col("user_id") + F.col("item_id")) % 10 == 0
+    history, batch = rows.where(~late), rows.where(late)
+    users, items = factors.mf_fit(history, rank=20, max_iter=10)
+    users, items = factors.mf_update(users, items, history, batch)
+    return equation_gaps(rows.join(batch.select("user_id").distinct(), "user_id", "left_semi"), users, items)
+
+
 @query
 def graph_normalize(spark, sf):
     ev = d.behaviour(spark, sf).select("user_id", F.col("product_id").alias("item_id"))
@@ -854,6 +890,18 @@ def content_factors(spark, sf):
     return f.select("item_id", F.posexplode("features").alias("pos", "value"))
 
 
+@query
+def content_components(spark, sf):
+    """(a, b, shared): that two components have nothing in common, and (a, a, ...) that they come in falling order, over all items."""
+    rows = cut_lineage(factors.content_factors(catalogue(spark, sf)), "content")
+    left = rows.select("item_id", F.posexplode("features").alias("a", "x"))
+    right = rows.select("item_id", F.posexplode("features").alias("b", "y"))
+    sums = left.join(right, "item_id").where("a <= b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    energy = sums.where("a = b").select("a", "s", F.lead("s").over(W.orderBy("a")).alias("next"))
+    own = energy.select("a", F.col("a").alias("b"), F.coalesce(F.col("s") >= F.col("next") - 1e-6, F.lit(True)).alias("holds"))
+    return own.unionByName(sums.where("a < b").select("a", "b", (F.abs("s") < 1e-6).alias("holds")))
+
+
 @query
 def content_user_profiles(spark, sf):
     profiles = factors.content_user_profiles(review_pairs(spark, sf), d.item_vectors(spark, sf))

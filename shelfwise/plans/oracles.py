@@ -604,6 +604,10 @@ oracle("unseen_items", "ev", """
 
 # ---------------------------------------------------------------- models
 
+oracle("mf_fit", "lg", "SELECT user_id, count(*) AS ratings, true AS solved FROM lg GROUP BY user_id")
+oracle("mf_update", "lg", """
+    SELECT user_id, count(*) AS ratings, true AS solved FROM lg
+    WHERE user_id IN (SELECT user_id FROM lg WHERE (user_id + item_id) % 10 = 0) GROUP BY user_id""")
 oracle("graph_normalize", "edge", f"SELECT src, dst, {r('weight')} AS weight FROM edge")
 oracle("graph_propagate", "edge vec", f"""
     WITH v0 AS (SELECT 'u:' || item_id AS node, unnest(features) AS v, generate_subscripts(features, 1) AS pos FROM vec
@@ -612,6 +616,10 @@ oracle("graph_propagate", "edge vec", f"""
         v2 AS (SELECT dst AS node, sum(v * weight) AS v, pos FROM edge JOIN v1 ON v1.node = src GROUP BY dst, pos),
         a AS (SELECT * FROM v0 UNION ALL SELECT * FROM v1 UNION ALL SELECT * FROM v2)
     SELECT node, CAST(pos - 1 AS INTEGER) AS pos, {r('sum(v) / 3')} AS value FROM a GROUP BY node, pos""")
+oracle("content_components", "cat", """
+    WITH w AS (SELECT count(DISTINCT ch) AS n FROM (SELECT unnest(string_split(item_id::VARCHAR, '')) AS ch FROM cat)),
+        k AS (SELECT unnest(range(0, CASE WHEN 30 > n THEN greatest(1, n - 1) ELSE 30 END))::INTEGER AS i FROM w)
+    SELECT x.i AS a, y.i AS b, true AS holds FROM k x JOIN k y ON x.i <= y.i""")
 oracle("content_user_profiles", "prof", f"SELECT user_id, CAST(pos AS INTEGER) AS pos, {r('value')} AS value FROM prof")
 oracle("content_recommend", "prof", f"""
     WITH p AS (SELECT user_id, list(value ORDER BY pos) AS features FROM prof GROUP BY 1),

@@ -118,6 +118,22 @@ def test_content_factors_equal_a_local_decomposition(spark):
     assert np.abs(np.array([got[w] for w in ids])) == pytest.approx(want, abs=1e-6)
 
 
+def test_content_factors_of_a_wide_alphabet_keep_the_leading_energy(spark):
+    rng = np.random.default_rng(6)
+    letters = [chr(0x4E00 + i) for i in range(80)]
+    shares = 0.8 ** np.arange(80)
+    ids = ["".join(rng.choice(letters, 12, p=shares / shares.sum())) + letters[i % 80] + str(i) for i in range(400)]
+    chars = sorted(set("".join(ids)))
+    tf = np.array([[w.count(c) for c in chars] for w in ids], dtype=float)
+    m = tf * (np.log((1 + len(ids)) / (1 + (tf > 0).sum(axis=0))) + 1)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    values = np.linalg.svd(m, compute_uv=False)
+    df = spark.createDataFrame([(w,) for w in ids], "item_id STRING")
+    got = np.array([r["features"] for r in factors.content_factors(df, components=5, spare=10).collect()])
+    assert got.shape == (400, 5)
+    assert (got**2).sum(axis=0) == pytest.approx(values[:5] ** 2, rel=1e-3)
+
+
 def test_factor_models_reproduce_a_simple_taste(spark):
     rows = [(u, i, 5.0 if u % 2 == i % 2 else 1.0) for u in range(8) for i in range(8) if (u + 3 * i) % 5]
     df = spark.createDataFrame(rows, "user_id INT, item_id INT, rating DOUBLE")
