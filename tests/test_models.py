@@ -129,7 +129,7 @@ def test_content_factors_of_a_wide_alphabet_keep_the_leading_energy(spark):
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     values = np.linalg.svd(m, compute_uv=False)
     df = spark.createDataFrame([(w,) for w in ids], "item_id STRING")
-    got = np.array([r["features"] for r in factors.content_factors(df, components=5, spare=10).collect()])
+    got = np.array([r["features"] for r in factors.content_factors(df, components=5, spare=40).collect()])
     assert got.shape == (400, 5)
     assert (got**2).sum(axis=0) == pytest.approx(values[:5] ** 2, rel=1e-3)
 
