@@ -130,27 +130,35 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 
 
 def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Per other column: distinct values, mode, largest count, empty texts and id-like flags."""
+    """Per other column: distinct values, mode, largest count, empty texts and id-like flags.
+
+    Values are counted by 128 bits of hash, so long texts are neither shuffled nor
+    written; only the modes are looked up as texts.
+    """
     names = cols or categorical_columns(df)
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    value = F.col("value")
+    digest = [F.xxhash64("value").alias("h1"), F.xxhash64(F.lit(1), value).alias("h2"), value.isNull().alias("missing")]
+    rows = _long(df, names, "string").select("column_name", "value", *digest)
+    empty = (value == "") & F.col("column_name").isin(*text)
     counts = cut_lineage(
-        _long(df, names, "string").groupBy("column_name", "value").agg(F.count("*").alias("n")), "values"
+        rows.groupBy("column_name", "h1", "h2", "missing").agg(F.count("*").alias("n"), F.count_if(empty).alias("empty")), "values"
     )
-    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     n = F.col("n")
-    # The winning count first (one row per column, safe to broadcast), then the
-    # smallest value that has it.
-    best = counts.where(F.col("value").isNotNull()).groupBy("column_name").agg(F.max("n").alias("best"))
-    mode = (
-        counts.join(F.broadcast(best), "column_name")
-        .where((n == F.col("best")) & F.col("value").isNotNull())
-        .groupBy("column_name")
-        .agg(F.min("value").alias("top_value"))
+    # One row per column, safe to broadcast.
+    best = F.broadcast(counts.where(~F.col("missing")).groupBy("column_name").agg(F.max("n").alias("best")))
+    # The smallest of the values with that count. Where every value is single, all are among them, and no join is needed.
+    held = rows.where(~F.col("missing")).join(best, "column_name")
+    winners = counts.join(best, "column_name").where((n == F.col("best")) & (n > 1) & ~F.col("missing")).select("column_name", "h1", "h2")
+    tied = held.where("best > 1").join(winners, ["column_name", "h1", "h2"], "left_semi")
+    mode = held.where("best = 1").select("column_name", "value").unionByName(tied.select("column_name", "value")).groupBy("column_name").agg(
+        F.min("value").alias("top_value")
     )
     summary = counts.groupBy("column_name").agg(
         F.count("*").alias("unique_count"),
         F.max("n").alias("top_value_count"),
         F.sum("n").alias("rows"),
-        F.sum(F.when((F.col("value") == "") & F.col("column_name").isin(*text), n).otherwise(0)).alias("empty_count"),
+        F.sum("empty").alias("empty_count"),
     )
     return summary.join(mode, "column_name", "left").select(
         "column_name",

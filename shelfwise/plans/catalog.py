@@ -6,6 +6,7 @@ SQL twin, where there is one, has the same name in ``oracles``.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W
@@ -193,6 +194,15 @@ def write_messages(spark, sf):
     return messages.to_messages(rows, "product_event")
 
 
+@query
+def write_messages_files(spark, sf):
+    """Messages that a stream has written to files."""
+    path = shared_path(spark, "sent")
+    rows = event_stream(spark, sf).select("user_id", "product_id", "event_type", F.unix_millis("ts").alias("timestamp"))
+    messages.write_messages(rows, "product_event", f"{path}/checkpoint", path=f"{path}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.text(f"{path}/out")
+
+
 @query
 def read_events_stream(spark, sf):
     """Messages written as JSON text, read back as a stream."""
@@ -217,6 +227,23 @@ def feedback_event_log(spark, sf):
     )
 
 
+@query
+def feedback_event_log_files(spark, sf):
+    """The log that a stream of feedback has written, read back."""
+    path = shared_path(spark, "feedback-log")
+    rows = feedback(spark, sf).withColumns(
+        {"timestamp": F.col("ts"), "context": F.create_map(F.lit("model"), F.coalesce("model_name", F.lit("none")))}
+    )
+    rows.repartition(3).write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in")
+    writer = messages.feedback_event_log(stream, f"{path}/out", f"{path}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    log = spark.read.schema("user_id STRING, item_id STRING, event_type STRING, timestamp TIMESTAMP, context MAP<STRING, STRING>, rating DOUBLE").json(f"{path}/out")
+    return text_of_time(
+        log.select("user_id", "item_id", "event_type", "timestamp", "rating", log["context"]["model"].alias("model")), "timestamp"
+    )
+
+
 @query
 def write_recommendations(spark, sf):
     path = shared_path(spark, "recommendations")
@@ -570,6 +597,13 @@ def consistency_check(spark, sf):
     return quality.consistency_check(d.reviews(spark, sf), "2000-01-01")
 
 
+@query
+def invalid_ratings(spark, sf):
+    """Quantities in the role of ratings: most are none."""
+    rows = d.table(spark, sf, "lineitem").select(F.col("l_quantity").alias("rating"))
+    return quality.invalid_ratings(rows)
+
+
 @query
 def relationship_check(spark, sf):
     return quality.relationship_check(d.text_reviews(spark, sf))
@@ -773,6 +807,14 @@ def split_train_val_test(spark, sf):
     return cleaning.tag_split(d.products(spark, sf).select("product_id", "title")).drop("title")
 
 
+@query
+def split_parts(spark, sf):
+    """All four tables of the split."""
+    parts = cleaning.split_train_val_test(d.products(spark, sf).select("product_id", "title"), sample_size=100)
+    tables = [rows.select(F.lit(name).alias("part"), "product_id", "title") for name, rows in parts.items()]
+    return functools.reduce(DataFrame.unionByName, tables)
+
+
 # ---------------------------------------------------------------- set operations
 
 
@@ -1046,6 +1088,16 @@ def refresh_cold_start(spark, sf):
     return cold_tables(spark, sf)["popularity"]
 
 
+@query
+def refresh_cold_start_tables(spark, sf):
+    """The category, item and cluster tables of a refresh."""
+    tables = cold_tables(spark, sf)
+    shape = lambda name, key, rank: tables[name].select(F.lit(name).alias("feature"), key.cast("string").alias("value"), "item_id", rank.cast("int").alias("rank"))
+    none = F.lit(None)
+    category = shape("category", F.col("category"), F.col("rank"))
+    return category.unionByName(shape("items", none, none)).unionByName(shape("clusters", F.col("cluster"), F.col("rank")))
+
+
 @query
 def update_recommendations(spark, sf):
     ev = d.behaviour(spark, sf)

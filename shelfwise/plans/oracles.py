@@ -159,12 +159,16 @@ oracle("write_messages", "ev", """
     SELECT user_id || ':' || product_id AS key,
         '{"user_id":' || user_id || ',"product_id":' || product_id || ',"event_type":"' || event_type
         || '","timestamp":' || (epoch_us(ts) // 1000) || '}' AS value FROM ev""")
+oracle("write_messages_files", "ev", """
+    SELECT '{"user_id":' || user_id || ',"product_id":' || product_id || ',"event_type":"' || event_type
+        || '","timestamp":' || (epoch_us(ts) // 1000) || '}' AS value FROM ev""")
 oracle("read_events_stream", "ev", f"""
     SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(product_id AS VARCHAR) AS product_id, event_type, session_id,
         rating, strftime(ts, {TS}) AS ts FROM ev""")
 oracle("feedback_event_log", "fb", f"""
     SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id, event_type,
         strftime(ts, {TS}) AS timestamp, rating, coalesce(model_name, 'none') AS model FROM fb""")
+ORACLES["feedback_event_log_files"] = ORACLES["feedback_event_log"]
 oracle("write_recommendations", "lg", """
     SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS product_id,
         round(score, 6) AS score, 'v1' AS model_version, FALSE AS clicked FROM lg WHERE rank <= 10""")
@@ -411,6 +415,7 @@ _CHECKS = {
 _CONS = ", ".join(
     f"count(*) FILTER ({c}) AS {n}_count, {r(f'count(*) FILTER ({c}) * 100.0::DOUBLE / count(*)')} AS {n}_percentage" for n, c in _CHECKS.items())
 oracle("consistency_check", "rev", f"SELECT {_CONS} FROM rev")
+oracle("invalid_ratings", "", "SELECT DISTINCT l_quantity AS rating FROM lineitem WHERE l_quantity < 1 OR l_quantity > 5")
 oracle("relationship_check", "trev", f"""
     WITH m AS (SELECT avg(length(review_text)) FILTER (rating = 1) AS lo, avg(length(review_text)) FILTER (rating = 5) AS hi,
         avg(rating) FILTER (verified_purchase) AS v, avg(rating) FILTER (NOT verified_purchase) AS u FROM trev)
@@ -571,6 +576,12 @@ oracle("split_train_val_test", "prod", f"""
     SELECT product_id, CASE WHEN u < 0.2::DOUBLE THEN 'test' WHEN u < 0.2::DOUBLE + 0.8::DOUBLE * 0.25::DOUBLE THEN 'validation'
         ELSE 'train' END AS split FROM (SELECT product_id, {uniform('product_id', 'title')} AS u FROM prod)""")
 
+oracle("split_parts", "prod", f"""
+    WITH u AS (SELECT product_id, title, {uniform('product_id', 'title')} AS u FROM prod)
+    SELECT CASE WHEN u < 0.2::DOUBLE THEN 'test' WHEN u < 0.2::DOUBLE + 0.8::DOUBLE * 0.25::DOUBLE THEN 'validation' ELSE 'train' END AS part,
+        product_id, title FROM u
+    UNION ALL SELECT 'sample', product_id, title FROM (SELECT * FROM u ORDER BY u, product_id LIMIT 100)""")
+
 # ---------------------------------------------------------------- set operations
 
 oracle("fill_from_popular", "rk pop viewed", """
@@ -727,6 +738,11 @@ oracle("refresh_cold_start", "popall poploc", """
     SELECT 'overall' AS feature, '' AS value, item_id, rank FROM popall WHERE rank <= 1000
     UNION ALL SELECT 'user_location', CAST(value AS VARCHAR), item_id, rank FROM poploc WHERE rank <= 1000""")
 
+oracle("refresh_cold_start_tables", "popcat cat clu", """
+    SELECT 'category' AS feature, category AS value, item_id, CAST(rank AS INTEGER) AS rank FROM popcat WHERE rank <= 1000
+    UNION ALL SELECT 'items', NULL, item_id, NULL FROM cat
+    UNION ALL SELECT 'clusters', CAST(cluster AS VARCHAR), item_id, CAST(rank AS INTEGER) FROM clu""")
+
 
 def _update(source: str, popular: str) -> str:
     """Lists from pair scores, event by event."""
