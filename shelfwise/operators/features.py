@@ -180,23 +180,40 @@ def tfidf_features(
     small enough to be sent to the counts, which then need no shuffle by term. Words
     are counted first, and only runs of words that reach the share become terms.
     """
-    stop = StopWordsRemover.loadDefaultStopWords("english") if stop_words is None else list(stop_words)
+    stop = english_stop_words() if stop_words is None else list(stop_words)
     total = fit.agg(F.count("*")).scalar()
     texts = words_of(df, key, col, stop)
     fit_texts = texts if fit is df else words_of(fit, key, col, stop)
-    # Rows that share a key count once each here, as one text below: never fewer than the texts with the word.
-    single = fit_texts.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    frequent = cut_lineage(single.where(F.col("df") >= min_df * total).select("word"), "frequent")
+    frequent = cut_lineage(frequent_words(fit_texts, total, min_df), "frequent")
     # Written once: the vocabulary, the weights and the norms all read the counts.
     counts = cut_lineage(terms(texts, key, ngrams, frequent), "terms")
     fitted = counts if fit is df else terms(fit_texts, key, ngrams, frequent)
-    vocabulary = (
+    return unit_weights(counts, term_weights(fitted, total, min_df, max_df), key)
+
+
+def english_stop_words() -> list[str]:
+    return StopWordsRemover.loadDefaultStopWords("english")
+
+
+def frequent_words(texts: DataFrame, total: Column, min_df: float) -> DataFrame:
+    """(word) that a ``min_df`` share of the texts hold. Rows that share a key count once each: never fewer than the texts with the word."""
+    single = texts.select(F.explode(F.array_distinct("w")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    return single.where(F.col("df") >= min_df * total).select("word")
+
+
+def term_weights(fitted: DataFrame, total: Column, min_df: float, max_df: float) -> DataFrame:
+    """(term, idf) of the terms whose share of the texts lies between the bounds."""
+    return (
         fitted.groupBy("term")
         .agg(F.count("*").alias("df"))
         .withColumn("n", total)
         .where((F.col("df") >= min_df * F.col("n")) & (F.col("df") <= max_df * F.col("n")))
         .select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     )
+
+
+def unit_weights(counts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    """(key, term, weight): counts times the vocabulary's weights, scaled to length one per key."""
     weighted = counts.join(vocabulary, "term").select(
         key, "term", (F.col("tf") * F.col("idf")).alias("w")
     )

@@ -27,6 +27,7 @@ from ..operators import (
     graph,
     interactions,
     matching,
+    pipeline,
     quality,
     ranking,
     sessions,
@@ -39,6 +40,7 @@ from ..streaming import jobs
 from ..streaming.bandit import OnlineBandit, stream_linucb as bandit_stream
 from ..streaming.behaviour import BehaviourWindow, stream_behaviour_window as behaviour_stream
 from . import recommend
+from .preprocess import preprocess as whole_run
 from .oracles import STOP_WORDS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -377,6 +379,40 @@ def tfidf_features(spark, sf):
     return features.tfidf_features(docs, docs, "doc_id", "text", stop_words=STOP_WORDS)
 
 
+def fitted_pipeline(spark, sf):
+    """Fitted on the products with an even key, stored."""
+    items = d.products(spark, sf)
+    path = shared_path(spark, "pipeline")
+    known = items.where(F.col("product_id") % 2 == 0)
+    pipeline.FeaturePipeline(spark, path, texts=["title"], stop_words=STOP_WORDS, min_df=0.002).fit(known, "product_id")
+    return pipeline.FeaturePipeline(spark, path, texts=["title"], stop_words=STOP_WORDS, min_df=0.002), items
+
+
+@query
+def feature_pipeline(spark, sf):
+    """Codes and scaled prices of all products by the stored fit."""
+    fitted, items = fitted_pipeline(spark, sf)
+    return fitted.transform(items).select("product_id", "category_encoded", "subcategory_encoded", "price_scaled", "price_normalized")
+
+
+@query
+def feature_pipeline_texts(spark, sf):
+    """Term weights of all titles by the stored fit."""
+    fitted, items = fitted_pipeline(spark, sf)
+    return fitted.text_weights(items, "product_id", "title")
+
+
+@query
+def preprocess(spark, sf):
+    """All four tables of a preprocessing run over raw reviews."""
+    parts = whole_run(
+        raw_reviews(spark, sf), shared_path(spark, "preprocessed"), min_user=20, min_product=15, small=100, now=NOW,
+        columns=["user_id", "product_id", "rating"],
+    )
+    tables = [rows.select(F.lit(name).alias("part"), "user_id", "product_id", "rating") for name, rows in parts.items()]
+    return functools.reduce(DataFrame.unionByName, tables)
+
+
 @query
 def normalize_ratings(spark, sf):
     return features.normalize_ratings(d.reviews(spark, sf), epsilon=1e-10).select("user_id", "product_id", "normalized_rating")
@@ -1104,6 +1140,14 @@ def update_recommendations(spark, sf):
     return recommend.update_recommendations(ev, ranking.top_popular(ev, 100), 100)
 
 
+@query
+def update_recommendations_merged(spark, sf):
+    """Lists that are filled with viewed items first and then with those of large factors."""
+    ev = d.behaviour(spark, sf)
+    model = ranking.factor_popularity(d.item_vectors(spark, sf), 100)
+    return recommend.update_recommendations(ev, ranking.top_popular(ev, 60), 100, model_popular=model)
+
+
 @query
 def behaviour_recommendations(spark, sf):
     return recommend.behaviour_recommendations(d.behaviour(spark, sf), 100, 60, 11)

@@ -292,6 +292,36 @@ oracle("tfidf_features", "", f"""
             WHERE df >= 0.01::DOUBLE * n AND df <= 0.85::DOUBLE * n)
     SELECT doc_id, term, {r('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))')} AS weight FROM w""")
 
+_CODES = """(SELECT label, row_number() OVER (ORDER BY label) - 1 AS code FROM (SELECT DISTINCT {c} AS label FROM prod WHERE product_id % 2 = 0
+    UNION SELECT 'unknown'))"""
+oracle("feature_pipeline", "prod", f"""
+    WITH a AS {_CODES.format(c='category')}, b AS {_CODES.format(c='subcategory')},
+        f AS (SELECT avg(price) AS m, stddev_pop(price) AS s, min(price) AS lo, max(price) AS hi FROM prod WHERE product_id % 2 = 0)
+    SELECT product_id, coalesce(a.code, (SELECT code FROM a WHERE label = 'unknown')) AS category_encoded,
+        coalesce(b.code, (SELECT code FROM b WHERE label = 'unknown')) AS subcategory_encoded,
+        {r('(price - m) / s')} AS price_scaled, {r('(price - lo) / (hi - lo)')} AS price_normalized
+    FROM prod LEFT JOIN a ON a.label = prod.category LEFT JOIN b ON b.label = prod.subcategory, f""")
+oracle("feature_pipeline_texts", "prod", f"""
+    WITH words AS (SELECT product_id, list_filter(regexp_extract_all(lower(title), '[\\pL\\pN_]{{2,}}'),
+            lambda w: NOT list_contains([{_STOP}], w)) AS w FROM prod),
+        grams AS (SELECT product_id, unnest(w) AS term FROM words
+            UNION ALL SELECT product_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words),
+        tf AS (SELECT product_id, term, count(*) AS tf FROM grams GROUP BY 1, 2),
+        n AS (SELECT count(*) AS n FROM prod WHERE product_id % 2 = 0),
+        df AS (SELECT term, count(*) AS df FROM tf WHERE product_id % 2 = 0 GROUP BY 1),
+        w AS (SELECT product_id, term, tf * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n
+            WHERE df >= 0.002::DOUBLE * n AND df <= 0.85::DOUBLE * n)
+    SELECT product_id, term, {r('w / sqrt(sum(w * w) OVER (PARTITION BY product_id))')} AS weight FROM w""")
+oracle("preprocess", "raw", f"""
+    WITH c AS (SELECT reviewer_id AS user_id, asin AS product_id, try_cast(overall AS DOUBLE) AS rating FROM raw
+            WHERE reviewer_id IS NOT NULL AND asin IS NOT NULL AND try_cast(overall AS DOUBLE) IS NOT NULL),
+        k AS (SELECT * FROM c WHERE user_id IN (SELECT user_id FROM c GROUP BY 1 HAVING count(*) >= 20)
+            AND product_id IN (SELECT product_id FROM c GROUP BY 1 HAVING count(*) >= 15)),
+        u AS (SELECT *, {uniform('user_id', 'product_id', 'rating')} AS u FROM k)
+    SELECT CASE WHEN u < 0.2::DOUBLE THEN 'test' WHEN u < 0.2::DOUBLE + 0.8::DOUBLE * 0.25::DOUBLE THEN 'validation' ELSE 'train' END AS part,
+        user_id, product_id, rating FROM u
+    UNION ALL SELECT 'sample', user_id, product_id, rating FROM (SELECT * FROM u ORDER BY u, user_id, product_id, rating LIMIT 100)""")
+
 # ---------------------------------------------------------------- joins
 
 oracle("filter_min_activity", "rev", """
@@ -770,6 +800,10 @@ def _update(source: str, popular: str) -> str:
 _POP_OF_E = """SELECT product_id AS item_id, row_number() OVER (ORDER BY count(*) DESC, product_id) AS rank FROM e
     WHERE event_type = 'view' GROUP BY 1"""
 oracle("update_recommendations", "ev", _update("SELECT * FROM ev", _POP_OF_E))
+oracle("update_recommendations_merged", "ev vec", _update("SELECT * FROM ev", f"""
+    SELECT item_id, rank FROM ({_POP_OF_E}) WHERE rank <= 60
+    UNION ALL SELECT item_id, least(60, (SELECT count(DISTINCT product_id) FROM e WHERE event_type = 'view')) + row_number() OVER (ORDER BY rank) AS rank
+    FROM ({_FPOP}) WHERE rank <= 100 AND item_id NOT IN (SELECT item_id FROM ({_POP_OF_E}) WHERE rank <= 60)""").replace("WHERE pp.rank <= 100 AND", "WHERE"))
 ORACLES["stream_update_recommendations"] = ORACLES["update_recommendations"]
 ORACLES["stream_item_relation"] = ORACLES["cooccurrence_feedback"]
 oracle("behaviour_recommendations", "ev", _update("""SELECT * FROM ev

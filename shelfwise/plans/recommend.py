@@ -16,10 +16,12 @@ def update_recommendations(
     n: int = 100,
     max_seen: int | None = None,
     related: DataFrame | None = None,
+    model_popular: DataFrame | None = None,
 ) -> DataFrame:
     """(user_id, item_id, rank, score, activity_level) for every user of the events.
 
-    Items related to what the user touched, best sum first, then popular ones.
+    Items related to what the user touched, best sum first, then popular ones: the most
+    viewed, followed by those of ``model_popular`` (item_id, rank) if given.
     With ``max_seen`` a user with more products is taken for a bot and gets no
     list, but still counts in the item relation.
     """
@@ -34,6 +36,8 @@ def update_recommendations(
     own = ranking.top_n_per_user(candidates, n)
     if popular is None:
         popular = ranking.top_popular(events, n)
+    if model_popular is not None:
+        popular = cut_lineage(ranking.merge_popular(popular, model_popular, n), "popular")
     filled = ranking.fill_from_popular(own, popular, known, n, targets)
     return (
         rank_to_score(filled)
