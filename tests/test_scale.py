@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +139,35 @@ def test_samples_and_pages(spark, running):
     assert len(first) == 30 and first == sorted(r[0] for r in cleaning.sample_rows(df.repartition(5), 30).collect())
     assert [r[0] for r in scale.first_rows(df.distinct(), [F.col("k")], 5, 10).collect()] == [10, 11, 12, 13, 14]
     assert cleaning.sample_rows(df, 500).count() == 100
+
+
+@pytest.mark.parametrize("share,most,at_once,met", [(16, 1024, 1 << 18, 1 << 20), (2, 1, 7, 5), (1000, 3, 40, 1), (1, 0, 1, 3)])
+def test_list_counts_equal_set_sizes(monkeypatch, share, most, at_once, met):
+    for name, value in (("DENSE_SHARE", share), ("DENSE_ITEMS", most), ("COUNTS_AT_ONCE", at_once), ("MET_AT_ONCE", met)):
+        monkeypatch.setattr(evaluation, name, value)
+    rnd = random.Random(7)
+    left, right = ([rnd.sample(range(30), rnd.randrange(0, 9)) + ([99] if rnd.random() < 0.7 else []) for _ in range(n)] for n in (23, 17))
+    got = np.concatenate([c for _, c in evaluation._list_counts(*(pa.array([[str(x) for x in items] for items in side], pa.list_(pa.string())) for side in (left, right)))])
+    assert got.tolist() == [[len(set(a) & set(b)) for b in right] for a in left]
+
+
+@pytest.mark.parametrize("block,small", [(8192, 256), (5, 2)])
+def test_pairs_of_lists_never_leave_their_task(spark, monkeypatch, block, small):
+    monkeypatch.setattr(evaluation, "LIST_BLOCK", block)
+    monkeypatch.setattr(evaluation, "SMALL_BLOCK", small)
+    rnd = random.Random(3)
+    rows = [(f"u{u}", rnd.randrange(12)) for u in range(40) for _ in range(rnd.randrange(1, 5))] + [(None, 1), ("none", None)]
+    recs = spark.createDataFrame(rows, "user_id STRING, item_id INT")
+    pairs = evaluation.pairwise_jaccard(recs)
+    # Pairs are neither shuffled nor joined with sizes: one stage makes and returns them.
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    sets = {u: {i for v, i in rows if v == u and i is not None} for u, _ in rows if u}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    assert {(r[0], r[1]): r[2] for r in pairs.collect()} == pytest.approx(want)
+    # The null user counts as a user.
+    users = [u for u in sets if sets[u]]
+    row = evaluation.personalization(recs).first()
+    assert row["users"] == len(users) + 1
+    equal = any(sets[u] == {1} for u in users)
+    assert equal or row["personalization"] == pytest.approx(1 - sum(want.values()) / ((len(users) + 1) * len(users) / 2))
