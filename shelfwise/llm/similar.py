@@ -13,13 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, discard, stored
 
 TILE = 512
 BITMAP_WORDS = 16
+#: Ratio of the sizes that a band of a large component starts and ends at.
+BAND = 1.25
 
 
 def partial_stars(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,19 +115,34 @@ def linked(sets: list[np.ndarray], tiles: np.ndarray, cross: bool, num: int, den
     return found
 
 
+def size_band(size: Column) -> Column:
+    """Number of the band of a size; never falls as the size grows."""
+    return F.floor(F.log(BAND, size)).cast("int")
+
+
 def verified_links(members: DataFrame, num: int, den: int, tile: int = TILE) -> DataFrame:
-    """(a, b) for rows (id, root, set): links that connect ids of one root whose sets are similar enough."""
+    """(a, b) for rows (id, root, set): links that connect ids of one root whose sets are similar enough.
+
+    A root of more than a tile is cut by size: an id stands in the band of its size and in
+    those up to the largest size that it can be similar to, so a pair meets in the band of its larger set.
+    """
     kind = members.schema["id"].dataType.simpleString()
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > tile)
-    many = sizes.select("root", F.ceil(F.col("_n") / tile).cast("int").alias("_t"))
+    size = F.greatest(F.size("set"), F.lit(1)).cast("long")
+    bands = F.sequence(size_band(size), size_band(F.floor(size * den / num)))
+    # The sets are made twice: here for their sizes, and below for the cells.
+    sizes = stored(members.select("root", bands.alias("bands")), "set_sizes")
+    large = sizes.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > tile).select("root", F.lit(True).alias("_large"))
+    counts = sizes.join(large, "root").select("root", F.explode("bands").alias("band")).groupBy("root", "band").agg(F.count(F.lit(1)).alias("_n"))
+    many = counts.where(F.col("_n") > tile).select("root", "band", F.ceil(F.col("_n") / tile).cast("int").alias("_t"))
+    banded = members.join(large, "root", "left").withColumn("band", F.explode(F.when(F.col("_large"), bands).otherwise(F.array(F.lit(0)))))
     tiles = F.coalesce("_t", F.lit(1))
     spread = (
-        members.join(many, "root", "left")
+        banded.join(many, ["root", "band"], "left")
         .withColumn("_tile", F.pmod(F.xxhash64("id", F.lit(3)), tiles).cast("int"))
         .withColumn("_with", F.explode(F.sequence(F.lit(0), tiles - 1)))
         .select(
-            F.xxhash64("root", F.least("_tile", "_with"), F.greatest("_tile", "_with")).alias("cell"),
-            "root", F.least("_tile", "_with").alias("x"), F.greatest("_tile", "_with").alias("y"), F.col("_tile").alias("tile"), "id", "set",
+            F.xxhash64("root", "band", F.least("_tile", "_with"), F.greatest("_tile", "_with")).alias("cell"),
+            "root", "band", F.least("_tile", "_with").alias("x"), F.greatest("_tile", "_with").alias("y"), F.col("_tile").alias("tile"), "id", "set",
         )
     )
 
@@ -135,20 +152,20 @@ def verified_links(members: DataFrame, num: int, den: int, tile: int = TILE) ->
         def close() -> pa.RecordBatch | None:
             if len(ids) < 2:
                 return None
-            pairs = linked(sets, np.array(tile_of), cell[1] != cell[2], num, den)
+            pairs = linked(sets, np.array(tile_of), cell[2] != cell[3], num, den)
             a, b = [ids[i] for i, _ in pairs], [ids[j] for _, j in pairs]
             return pa.RecordBatch.from_arrays([pa.array(a, id_type), pa.array(b, id_type)], names=["a", "b"])
 
         id_type = None
         for batch in batches:
             id_type = batch.schema.field("id").type
-            roots, xs, ys = (batch.column(c).to_pylist() for c in ("root", "x", "y"))
+            roots, bands, xs, ys = (batch.column(c).to_pylist() for c in ("root", "band", "x", "y"))
             own, ts = batch.column("id").to_pylist(), batch.column("tile").to_pylist()
             lists = batch.column("set")
             at = lists.offsets.to_numpy()
             flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
             for i in range(batch.num_rows):
-                here = (roots[i], xs[i], ys[i])
+                here = (roots[i], bands[i], xs[i], ys[i])
                 if here != cell:
                     if (done := close()) is not None and done.num_rows:
                         yield done
@@ -159,7 +176,7 @@ def verified_links(members: DataFrame, num: int, den: int, tile: int = TILE) ->
         if (done := close()) is not None and done.num_rows:
             yield done
 
-    dealt = spread.repartition("cell").sortWithinPartitions("cell", "root", "x", "y")
+    dealt = spread.repartition("cell").sortWithinPartitions("cell", "root", "band", "x", "y")
     return dealt.mapInArrow(compare, f"a {kind}, b {kind}")
 
 

@@ -5,7 +5,9 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from shelfwise.llm import common, hashing, ngram_join, similar
 
 from . import brute
@@ -52,6 +54,25 @@ def test_one_of_each_group_stays(docs_of, odd_rows):
     assert 5 not in ids and {1, 2, 3, 4, 7, 8, 9} <= set(ids) and ids.count(None) == 2
 
 
+def test_pipeline_stage_loses_no_link(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SEGMENTS", 1)
+    rows = near_texts()
+    want = [d for d, _, root in brute.join_components([r[:2] for r in rows], 5, 80, 100) if d == root]
+    kept = corpus_pipeline.near_stage(spark, docs_of(rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_similar_sizes_share_a_band(spark, num):
+    # Every size up to 3000 with the largest that can be similar to it.
+    sizes = spark.range(1, 3001).select(F.col("id").alias("a"), F.floor(F.col("id") * 100 / num).alias("b"))
+    low, high = similar.size_band(F.col("a")), similar.size_band(F.col("b"))
+    bands = sizes.select("a", "b", low.alias("low"), high.alias("high")).orderBy("a").collect()
+    own = [r.low for r in bands]
+    assert own == sorted(own) and own[-1] > 20
+    assert all(own[r.a - 1] <= own[min(r.b, 3000) - 1] <= r.high for r in bands)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 40), st.sampled_from([(90, 100), (80, 100)]), st.integers(0, 10**6))
 def test_similar_sets_share_a_key(n, changes, limit, seed):
