@@ -1275,9 +1275,9 @@ def ordered_stream(spark, events, by="event_id", files=3):
 
 @query
 def stream_session_stats(spark, sf):
-    """Sessions closed by the watermark."""
+    """Sessions closed by the watermark; one batch takes all files."""
     path = shared_path(spark, "stream")
-    d.behaviour(spark, sf).coalesce(1).write.parquet(path)
+    d.behaviour(spark, sf).repartition("user_id").write.parquet(path)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     out = jobs.append_stream(jobs.session_stats_stream(stream), spark, "sessions")
     return text_of_time(out, "start_time", "last_time")

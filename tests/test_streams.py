@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from shelfwise import datasets
 from shelfwise.operators import features, sessions
+from shelfwise.plans import catalog
 from shelfwise.sources import messages
 from shelfwise.streaming import jobs
 
@@ -93,3 +94,16 @@ def test_messages_written_as_a_stream(spark, tmp_path, stream):
     query = messages.write_messages(rows, "product_event", str(tmp_path / "cp"), path=out).trigger(availableNow=True).start()
     query.awaitTermination()
     assert messages.parse_messages(spark.read.text(out), "product_event").where("ts is not null").count() == 1000
+
+
+def test_session_stream_deals_its_events_to_several_files(spark, tmp_path, monkeypatch):
+    events = spark.range(30000).selectExpr(
+        "id AS event_id", "timestamp_seconds(1704067200 + id * 7) AS ts", "id % 301 AS user_id", "'view' AS event_type",
+        "CAST(id AS DOUBLE) AS value", "concat('{\"k\": ', id % 10, '}') AS props",
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(catalog, "shared_path", lambda _, name: f"{tmp_path}/{name}")
+    rows = catalog.QUERIES["stream_session_stats"](spark, str(tmp_path)).count()
+    # No task writes or sorts all events.
+    assert len(list((tmp_path / "stream").glob("part-*"))) > 1
+    assert rows > 301
