@@ -84,15 +84,14 @@ class Encoder(dict):
                 return [t.id for t in self.merges.tokenize(spelled)]
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        found = [self.words(t) for t in texts]
-        new = set().union(*found) - self.keys()
-        if len(self) + len(new) > self.known:
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.known:
             self.clear()
-            new = set().union(*found)
-        for word in new:
-            self[word] = array("I", self.encoded(word)).tobytes()
-        return [b"".join(map(self.__getitem__, w)) for w in found]
+        self[word] = found = array("I", self.encoded(word)).tobytes()
+        return found
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [b"".join(map(self.__getitem__, self.words(t))) for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}

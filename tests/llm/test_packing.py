@@ -89,3 +89,10 @@ def test_repeated_rows_nulls_and_ids(docs_of):
     assert sorted(r.doc_tokens for r in out if r.start == 0) == [1, 3, 3]
     assert all(len(r.ids) == r.length for r in out)
     assert packing.pack(docs_of([])).count() == 0
+
+
+def test_remembered_words_stay_bounded_within_a_batch():
+    encode = packing.Encoder(packing.vocabulary_path(), known=3)
+    texts = ["one two three four five six seven", "seven one eight"]
+    assert encode.ids(texts) == packing.Encoder(packing.vocabulary_path()).ids(texts)
+    assert len(encode) <= 3
