@@ -171,3 +171,11 @@ def test_pairs_of_lists_never_leave_their_task(spark, monkeypatch, block, small)
     assert row["users"] == len(users) + 1
     equal = any(sets[u] == {1} for u in users)
     assert equal or row["personalization"] == pytest.approx(1 - sum(want.values()) / ((len(users) + 1) * len(users) / 2))
+
+
+def test_all_pairs_of_one_item_block_are_scored_by_several_tasks(spark):
+    users = spark.range(1024).selectExpr("id AS user_id", "array(double(id), 1D) AS features")
+    items = spark.range(5).selectExpr("id AS item_id", "array(1D, double(id)) AS features")
+    got = matching.score_all_pairs(users, items).withColumn("task", F.spark_partition_id()).collect()
+    assert {(r["user_id"], r["item_id"]): r["score"] for r in got} == {(u, i): float(u + i) for u in range(1024) for i in range(5)}
+    assert len(got) == 5120 and len({r["task"] for r in got}) > 1
