@@ -179,3 +179,25 @@ def test_all_pairs_of_one_item_block_are_scored_by_several_tasks(spark):
     got = matching.score_all_pairs(users, items).withColumn("task", F.spark_partition_id()).collect()
     assert {(r["user_id"], r["item_id"]): r["score"] for r in got} == {(u, i): float(u + i) for u in range(1024) for i in range(5)}
     assert len(got) == 5120 and len({r["task"] for r in got}) > 1
+
+
+def test_running_sum_cuts_only_large_keys(spark, monkeypatch):
+    monkeypatch.setattr(scale, "CHUNK_ROWS", 9)
+    cut, with_chunk = [], scale.with_chunk
+
+    def counted(df, order, out, chunks):
+        cut.append((df.count(), chunks))
+        return with_chunk(df, order, out, chunks)
+
+    monkeypatch.setattr(scale, "with_chunk", counted)
+    # A null key and key 0 are large, the others hold 9 rows or fewer.
+    keys = [None] * 20 + [0] * 30 + [k for k in range(1, 8) for _ in range(k + 2)]
+    rows = [(k, i * 7919 % 1009, i % 5) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "k INT, seq INT, v INT")
+    got = {(r["k"], r["seq"]): r["s"] for r in scale.running_sum(df, ["k"], [F.col("seq")], F.col("v"), "s").collect()}
+    assert got == {(k, seq): sum(v for l, at, v in rows if l == k and at <= seq) for k, seq, _ in rows}
+    assert sorted(cut) == [(len(rows) - 50, 1), (50, 6)]
+    cut.clear()
+    small = df.where("k > 0")
+    assert scale.running_sum(small, ["k"], [F.col("seq")], F.col("v"), "s").columns == ["k", "seq", "v", "s"]
+    assert cut == [(len(rows) - 50, 1)]
