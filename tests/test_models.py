@@ -200,3 +200,21 @@ def test_registered_queries_train_with_the_operators_defaults(spark, sf, monkeyp
     with pytest.raises(Called) as caught:
         getattr(catalog, name)(spark, sf)
     assert caught.value.args == (1, {})
+
+
+def test_products_of_the_layer_are_not_written(spark, monkeypatch):
+    rows = spark.createDataFrame([(u, i, float((u * i) % 5 + 1)) for u in range(12) for i in range(20) if (u + i) % 3], "user_id INT, item_id INT, rating DOUBLE")
+    names, cut = [], factors.cut_lineage
+
+    def counted(df, name):
+        names.append(name)
+        return cut(df, name)
+
+    monkeypatch.setattr(factors, "cut_lineage", counted)
+    u, i, weights, intercept = factors.ncf_gmf_fit(rows, dim=3, max_iter=2)
+    assert "products" not in names and len(weights) == 3
+    scored = factors.ncf_gmf_score(rows.select("user_id", "item_id"), u, i, weights, intercept).collect()
+    fu, fi = ({r[0]: np.array(r["features"], float) for r in df.collect()} for df in (u, i))
+    assert len(scored) == rows.count()
+    for r in scored:
+        assert r.score == pytest.approx(fu[r.user_id] * fi[r.item_id] @ np.array(weights) + intercept, abs=1e-12)
