@@ -13,6 +13,8 @@ from ..scale import dense_index, top_n
 from ..session import cut_lineage
 
 UNKNOWN = "unknown"
+# Words or terms that a task puts in order.
+TASK_ROWS = 1 << 20
 
 
 def _review_aggregates() -> list[Column]:
@@ -145,13 +147,20 @@ def words_of(df: DataFrame, key: str, col: str, stop_words: Sequence[str]) -> Da
     return cut_lineage(texts.select(key, F.monotonically_increasing_id().alias("_row"), words.alias("w")), "words")
 
 
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Dealt by key to as many tasks as ``rows`` ask for, so a task's memory does not grow with the table."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, -(-rows // TASK_ROWS)), key)
+
+
 def terms(texts: DataFrame, key: str, ngrams: tuple[int, int], frequent: DataFrame) -> DataFrame:
     """(key, term, tf): counts of the n-grams of successive words that are all ``frequent``.
 
     A term is in no more texts than each of its words, so others cannot reach the
     frequency either; most n-grams are never made.
     """
-    rows = texts.select(key, "_row", F.posexplode("w").alias("pos", "word")).join(frequent, "word", "left_semi").repartition(key)
+    words = texts.agg(F.sum(F.size("w"))).first()[0] or 0
+    rows = dealt(texts.select(key, "_row", F.posexplode("w").alias("pos", "word")).join(frequent, "word", "left_semi"), key, words)
     order = W.partitionBy(key, "_row").orderBy("pos")
     ahead = {f"_w{k}": F.lead("word", k).over(order) for k in range(1, ngrams[1])}
     ahead |= {f"_p{k}": F.lead("pos", k).over(order) for k in range(1, ngrams[1])}
@@ -188,7 +197,8 @@ def tfidf_features(
     # Written once: the vocabulary, the weights and the norms all read the counts.
     counts = cut_lineage(terms(texts, key, ngrams, frequent), "terms")
     fitted = counts if fit is df else terms(fit_texts, key, ngrams, frequent)
-    return unit_weights(counts, term_weights(fitted, total, min_df, max_df), key)
+    vocabulary = cut_lineage(term_weights(fitted, total, min_df, max_df), "vocabulary")
+    return unit_weights(counts, vocabulary, key, counts.count())
 
 
 def english_stop_words() -> list[str]:
@@ -212,11 +222,16 @@ def term_weights(fitted: DataFrame, total: Column, min_df: float, max_df: float)
     )
 
 
-def unit_weights(counts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
-    """(key, term, weight): counts times the vocabulary's weights, scaled to length one per key."""
+def unit_weights(counts: DataFrame, vocabulary: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+    """(key, term, weight): counts times the vocabulary's weights, scaled to length one per key.
+
+    ``rows`` is the number of counts, if they do not lie by key yet.
+    """
     weighted = counts.join(vocabulary, "term").select(
         key, "term", (F.col("tf") * F.col("idf")).alias("w")
     )
+    if rows is not None:
+        weighted = dealt(weighted, key, rows)
     # One text's terms per window.
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
     return weighted.withColumn("norm", norm).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise import scale
-from shelfwise.operators import ensemble, evaluation, matching
+from shelfwise.operators import ensemble, evaluation, features, matching
 
 
 def hot_rows(n=400, keys=6, seed=1):
@@ -201,3 +201,22 @@ def test_running_sum_cuts_only_large_keys(spark, monkeypatch):
     small = df.where("k > 0")
     assert scale.running_sum(small, ["k"], [F.col("seq")], F.col("v"), "s").columns == ["k", "seq", "v", "s"]
     assert cut == [(len(rows) - 50, 1)]
+
+
+def test_terms_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(features, "TASK_ROWS", 100)
+    texts = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 13}" for k in range(1, 31))) for i in range(60)], "k INT, t STRING")
+    words = features.words_of(texts, "k", "t", [])
+    frequent = words.select(F.explode("w").alias("word")).distinct()
+    # 1,800 words for 4 shuffle partitions.
+    counts = features.terms(words, "k", (1, 2), frequent)
+    assert counts.rdd.getNumPartitions() == 18
+    got = {(r.k, r.term): r.tf for r in counts.collect()}
+    for i in (1, 7, 59):
+        own = [f"w{(i * k) % 13}" for k in range(1, 31)]
+        grams = own + [f"{a} {b}" for a, b in zip(own, own[1:])]
+        assert {t: n for (k, t), n in got.items() if k == i} == {t: grams.count(t) for t in grams}
+    weights = features.tfidf_features(texts, texts, "k", "t", stop_words=[])
+    assert weights.rdd.getNumPartitions() > 8
+    lengths = weights.groupBy("k").agg(F.sum(F.col("weight") * F.col("weight")).alias("l")).collect()
+    assert lengths and all(abs(r.l - 1) < 1e-9 for r in lengths)
