@@ -26,12 +26,15 @@ from .buckets import BUCKETS, BucketTable
 class LiveRecommendations:
     """The tables of a running recommender below one folder."""
 
-    def __init__(self, spark: SparkSession, path: str, events: DataFrame, n: int = 100, buckets: int = BUCKETS, model_popular: DataFrame | None = None):
-        """``events`` gives the types of the ids; ``model_popular`` (item_id, rank) continues the list of most viewed items."""
+    def __init__(self, spark: SparkSession, path: str, events: DataFrame, n: int = 100, buckets: int = BUCKETS, model_popular: DataFrame | None = None, keep_lists: bool = True):
+        """``events`` gives the types of the ids; ``model_popular`` (item_id, rank) continues the list of most viewed items.
+
+        Without ``keep_lists`` batches leave the lists alone; ``all_lists`` makes them when asked.
+        """
         kind = {c: events.schema[c].dataType.simpleString() for c in ("user_id", "product_id")}
         user, item = f"user_id {kind['user_id']}", kind["product_id"]
         make = lambda name, schema, keys, deal=None: BucketTable(spark, f"{path.rstrip('/')}/{name}", schema, keys, deal, buckets)
-        self.n, self.model_popular = n, model_popular
+        self.n, self.model_popular, self.keep_lists = n, model_popular, keep_lists
         self.users = make("users", f"{user}, total long, products long", ["user_id"])
         self.touches = make("touches", f"{user}, product_id {item}, before long", ["user_id", "product_id"], ["user_id"])
         self.relation = make("relation", f"product_id {item}, related_id {item}, score double", ["product_id", "related_id"], ["product_id"])
@@ -66,8 +69,9 @@ class LiveRecommendations:
         viewed = interactions.item_popularity(events)
         both = viewed.unionByName(self.views.rows_of(viewed, version))
         self.views.upsert(both.groupBy("product_id").agg(F.sum("view_count").alias("view_count")), version)
-        lists = self.lists_of(touched, version)
-        self.lists.upsert(lists, version, touched.select("user_id").distinct())
+        if self.keep_lists:
+            lists = self.lists_of(touched, version)
+            self.lists.upsert(lists, version, touched.select("user_id").distinct())
 
     def _relate(self, touched: DataFrame, version: int) -> None:
         """Add what the touched users' pairs gain to the relation."""

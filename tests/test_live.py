@@ -111,3 +111,15 @@ def test_an_incomplete_version_is_not_seen(spark, tmp_path):
     assert table.versions() == [0] and table.read().first().v == "a"
     table.upsert(spark.createDataFrame([(2, "b")], "k long, v string"), 1)
     assert {r.v for r in table.read().collect()} == {"a", "b"}
+
+
+def test_lists_are_not_made_where_only_the_relation_is_kept(spark, events, tmp_path, monkeypatch):
+    state = LiveRecommendations(spark, str(tmp_path), events, 6, buckets=4, keep_lists=False)
+    made, lists_of = [], LiveRecommendations.lists_of
+    monkeypatch.setattr(LiveRecommendations, "lists_of", lambda *args: made.append(1) or lists_of(*args))
+    state.add(events.where("event_id < 300"), 0)
+    state.add(events.where("event_id >= 300"), 1)
+    assert not made and state.lists.versions() == []
+    assert rows_of(state.relation.read().select("product_id", "related_id", "score")) == rows_of(interactions.cooccurrence_feedback(events))
+    whole = update_recommendations(events.where("user_id is not null"), ranking.top_popular(events, 6), n=6)
+    assert lists(state.all_lists()) == lists(whole)
