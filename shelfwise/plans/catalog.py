@@ -1274,14 +1274,33 @@ def event_stream(spark, sf):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
+FILE_ROWS = 250_000
+
+
+def files_per_batch(counts):
+    """Files that each of the batches is dealt to, about ``FILE_ROWS`` rows each; the same for all, as the stream counts files.
+
+    No file may be missing because it is empty: a batch has 10,000 rows for each, so that
+    some task that deals it out has a row for every file.
+    """
+    return max(1, min(-(-max(counts) // FILE_ROWS), min(counts) // 10_000))
+
+
 def ordered_stream(spark, events, by="event_id", files=3):
-    """Events as a stream of files that hold successive events, a batch each."""
+    """Events as a stream of ``files`` batches that hold successive events."""
     path, order = shared_path(spark, "stream"), F.expr(by)
-    ends = events.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    ends = events.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count(order).alias("n")).first()
     place = F.floor((order - ends["lo"]) * files / (ends["hi"] - ends["lo"] + 1))
+    counts = [ends["n"]]
+    if ends["n"] > FILE_ROWS:
+        found = {r[0]: r[1] for r in events.groupBy(place.alias("k")).count().collect()}
+        counts = [found.get(k, 0) for k in range(files)]
+    each = files_per_batch(counts)
     for k in range(files):  # one after the other: a stream takes files by their time
-        events.where(place == k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        batch = events.where(place == k)
+        dealt = batch.coalesce(1) if each == 1 else batch.repartition(each)
+        dealt.write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 @query

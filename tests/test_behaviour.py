@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import sessions
+from shelfwise.plans import catalog
 from shelfwise.streaming.behaviour import BehaviourWindow, stream_behaviour_window
 
 EVENTS = "event_id long, user_id long, product_id long, event_type string, session_id string, ts timestamp"
@@ -76,3 +77,24 @@ def test_windows_by_slides_equal_windows_by_events(spark, events):
     assert got == want
     with pytest.raises(ValueError):
         sessions.drift_timeline(events, baseline, 30, 7)
+
+
+def test_a_large_batch_is_dealt_to_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "FILE_ROWS", 20_000)
+    stream = catalog.ordered_stream(spark, spark.range(150_000).withColumnRenamed("id", "event_id"))
+    seen = []
+
+    def note(batch, version):
+        r = batch.agg(F.min("event_id"), F.max("event_id"), F.count("*"), F.count_distinct("file")).first()
+        seen.append(tuple(r))
+
+    named = stream.withColumn("file", F.input_file_name())
+    named.writeStream.foreachBatch(note).option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [(0, 49_999, 50_000, 3), (50_000, 99_999, 50_000, 3), (100_000, 149_999, 50_000, 3)]
+
+
+def test_uneven_batches_have_the_same_number_of_files():
+    # A stream counts files, so a batch of few rows must not leave one empty.
+    assert catalog.files_per_batch([2_000_000, 3_000_000, 2_500_000]) == 12
+    assert catalog.files_per_batch([9_000_000, 25_000, 10]) == 1
+    assert catalog.files_per_batch([9_000_000, 9_000_000, 0]) == 1
