@@ -9,6 +9,7 @@ cell, whatever the number of similar pairs.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,31 +121,118 @@ def size_band(size: Column) -> Column:
     return F.floor(F.log(BAND, size)).cast("int")
 
 
+def with_bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, root, n, bits) of rows (id, root, set): the set's size and parity bitmap, two bits and more for each hash."""
+    for batch in batches:
+        lists = batch.column(2)
+        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        bits = []
+        for i in range(batch.num_rows):
+            s = flat[at[i] : at[i + 1]]
+            words = max(BITMAP_WORDS, 1 << (2 * len(s) // 64).bit_length())
+            bit = ((s >> np.uint64(17)) & np.uint64(64 * words - 1)).astype(np.intp)
+            odd = (np.bincount(bit, minlength=64 * words) & 1).astype(np.uint8)
+            bits.append(np.packbits(odd, bitorder="little").view(np.int64))
+        drawn = pa.ListArray.from_arrays(np.cumsum([0, *map(len, bits)]).astype(np.int32), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))
+        columns = [batch.column(0), batch.column(1), pa.array(np.diff(at), pa.int64()), drawn]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "root", "n", "bits"])
+
+
+def partnered(sizes: np.ndarray, bits: list[np.ndarray], tiles: np.ndarray, cross: bool, num: int, den: int) -> np.ndarray:
+    """Which rows have one whose size and bitmap allow den * intersection >= num * union.
+
+    A longer bitmap is folded to the length of the shorter one, which keeps the bound.
+    """
+    order = np.argsort(sizes, kind="stable")
+    sizes, tiles, bits = sizes[order], tiles[order], [bits[i] for i in order]
+    width, hit, folded = np.array([len(b) for b in bits]), np.zeros(len(sizes), bool), {}
+    for w in np.unique(width):
+        # Bitmaps grow with the sizes, so those of this length and more come last.
+        first = int(np.searchsorted(width, w))
+        folded[w] = first, np.stack([np.bitwise_xor.reduce(b.reshape(-1, w), axis=0) for b in bits[first:]])
+    for i, size in enumerate(sizes):
+        to = int(np.searchsorted(sizes * num, size * den, "right"))
+        if to <= i + 1 or not size:
+            continue
+        first, rows = folded[width[i]]
+        apart = np.bitwise_count(rows[i + 1 - first : to - first] ^ rows[i - first]).sum(1, dtype=np.int64)
+        may = apart * (num + den) <= (den - num) * (sizes[i + 1 : to] + size)
+        if cross:
+            may &= tiles[i + 1 : to] != tiles[i]
+        if may.any():
+            hit[i] = True
+            hit[i + 1 : to] |= may
+    found = np.zeros(len(sizes), bool)
+    found[order] = hit
+    return found
+
+
+def with_partner(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows (cell, root, band, x, y, tile, id, n, bits) that have a possible partner in their cell, without n and bits."""
+    keep = ["cell", "root", "band", "x", "y", "tile", "id"]
+    schema = ", ".join(f"{c} {placed.schema[c].dataType.simpleString()}" for c in keep)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if held else None
+            if rows is None or rows.num_rows < 2:
+                return
+            lists = rows.column("bits")
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+            bits = [flat[at[i] : at[i + 1]] for i in range(rows.num_rows)]
+            hit = partnered(rows.column("n").to_numpy(), bits, rows.column("tile").to_numpy(), cell[2] != cell[3], num, den)
+            if hit.any():
+                yield rows.select(keep).filter(pa.array(hit))
+
+        for batch in batches:
+            roots, bands, xs, ys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("root", "band", "x", "y"))
+            new = (roots[1:] != roots[:-1]) | (bands[1:] != bands[:-1]) | (xs[1:] != xs[:-1]) | (ys[1:] != ys[:-1])
+            for a, b in itertools.pairwise([0, *(np.flatnonzero(new) + 1), batch.num_rows]):
+                if a == b:
+                    continue
+                if (here := (roots[a], bands[a], xs[a], ys[a])) != cell:
+                    yield from close()
+                    cell, held = here, []
+                held.append(batch.slice(a, b - a))
+        yield from close()
+
+    dealt = placed.repartition("cell").sortWithinPartitions("cell", "root", "band", "x", "y")
+    return dealt.mapInArrow(scan, schema)
+
+
 def verified_links(members: DataFrame, num: int, den: int, tile: int = TILE) -> DataFrame:
     """(a, b) for rows (id, root, set): links that connect ids of one root whose sets are similar enough.
 
     A root of more than a tile is cut by size: an id stands in the band of its size and in
     those up to the largest size that it can be similar to, so a pair meets in the band of its larger set.
+    Bitmaps are sent to all cells first, and sets only to those in which their bitmap has a partner.
     """
     kind = members.schema["id"].dataType.simpleString()
-    size = F.greatest(F.size("set"), F.lit(1)).cast("long")
+    size = F.greatest(F.col("n"), F.lit(1)).cast("long")
     bands = F.sequence(size_band(size), size_band(F.floor(size * den / num)))
-    # The sets are made twice: here for their sizes, and below for the cells.
-    sizes = stored(members.select("root", bands.alias("bands")), "set_sizes")
-    large = sizes.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > tile).select("root", F.lit(True).alias("_large"))
-    counts = sizes.join(large, "root").select("root", F.explode("bands").alias("band")).groupBy("root", "band").agg(F.count(F.lit(1)).alias("_n"))
+    # The sets are made twice: here for their sizes and bitmaps, and below for the cells.
+    drawn = members.mapInArrow(with_bitmaps, f"id {kind}, root {members.schema['root'].dataType.simpleString()}, n long, bits array<long>")
+    light = stored(drawn.withColumn("bands", bands), "set_bitmaps")
+    large = light.groupBy("root").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > tile).select("root", F.lit(True).alias("_large"))
+    counts = light.join(large, "root").select("root", F.explode("bands").alias("band")).groupBy("root", "band").agg(F.count(F.lit(1)).alias("_n"))
     many = counts.where(F.col("_n") > tile).select("root", "band", F.ceil(F.col("_n") / tile).cast("int").alias("_t"))
-    banded = members.join(large, "root", "left").withColumn("band", F.explode(F.when(F.col("_large"), bands).otherwise(F.array(F.lit(0)))))
+    banded = light.join(large, "root", "left").withColumn("band", F.explode(F.when(F.col("_large"), F.col("bands")).otherwise(F.array(F.lit(0)))))
     tiles = F.coalesce("_t", F.lit(1))
-    spread = (
+    placed = (
         banded.join(many, ["root", "band"], "left")
         .withColumn("_tile", F.pmod(F.xxhash64("id", F.lit(3)), tiles).cast("int"))
         .withColumn("_with", F.explode(F.sequence(F.lit(0), tiles - 1)))
         .select(
             F.xxhash64("root", "band", F.least("_tile", "_with"), F.greatest("_tile", "_with")).alias("cell"),
-            "root", "band", F.least("_tile", "_with").alias("x"), F.greatest("_tile", "_with").alias("y"), F.col("_tile").alias("tile"), "id", "set",
+            "root", "band", F.least("_tile", "_with").alias("x"), F.greatest("_tile", "_with").alias("y"), F.col("_tile").alias("tile"), "id", "n", "bits",
         )
     )
+    # Rows that share an id count once.
+    met = stored(with_partner(placed, num, den).distinct(), "met_cells")
+    discard(light)
+    spread = met.join(members, ["id", "root"]).select("cell", "root", "band", "x", "y", "tile", "id", "set")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sets, tile_of, cell = [], [], [], None

@@ -116,3 +116,33 @@ def test_components_of_a_long_chain(spark):
     labels = common.components(chain, name="chain").groupBy("root").count().collect()
     assert sorted(r["count"] for r in labels) == [2, 201]
     assert common.components(spark.createDataFrame([], "a long, b long"), name="none").count() == 0
+
+
+def test_bitmaps_keep_every_similar_pair_and_few_others():
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (3, 40, 300, 310, 2500, 12_000):
+        base = rng.integers(0, 2**63, n, np.int64)
+        sets += [base, np.concatenate([base[: n - n // 20], rng.integers(0, 2**63, n // 20, np.int64)])]
+        sets.append(rng.integers(0, 2**63, n, np.int64))
+    sets = [np.sort(s).view(np.uint64) for s in sets]
+    lists = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+    ids = pa.array(range(len(sets)), pa.int64())
+    drawn = next(similar.with_bitmaps(iter([pa.RecordBatch.from_arrays([ids, ids, lists], names=["id", "root", "set"])])))
+    bits = [np.array(b, np.int64).view(np.uint64) for b in drawn.column("bits").to_pylist()]
+    hit = similar.partnered(drawn.column("n").to_numpy(), bits, np.zeros(len(sets), int), False, 80, 100)
+    assert list(np.flatnonzero(hit)) == [i for i in range(len(sets)) if i % 3 < 2]
+
+
+def test_only_rows_with_a_possible_partner_stay_in_a_cell(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, 1, [int(x) for x in np.sort(rng.integers(0, 2**62, 200))]) for i in range(60)]
+    rows += [(100, 1, rows[0][2][:-5] + [2**62 + 1]), (101, 2, rows[1][2])]
+    made = spark.createDataFrame(rows, "id long, root long, set array<long>")
+    cells = made.mapInArrow(similar.with_bitmaps, "id long, root long, n long, bits array<long>").withColumns(
+        {"cell": F.col("root"), "band": F.lit(0), "x": F.lit(0), "y": F.lit(0), "tile": F.lit(0)}
+    )
+    assert sorted(r["id"] for r in similar.with_partner(cells, 80, 100).collect()) == [0, 100]
+    for tile in (8, 512):
+        links = similar.verified_links(made, 80, 100, tile=tile)
+        assert {tuple(sorted(r)) for r in links.collect()} == {(0, 100)}
