@@ -218,3 +218,20 @@ def test_products_of_the_layer_are_not_written(spark, monkeypatch):
     assert len(scored) == rows.count()
     for r in scored:
         assert r.score == pytest.approx(fu[r.user_id] * fi[r.item_id] @ np.array(weights) + intercept, abs=1e-12)
+
+
+def test_blocks_of_the_solver_grow_with_the_ratings(spark, monkeypatch):
+    rows = [(u, i, 5.0 if u % 2 == i % 2 else 1.0) for u in range(30) for i in range(20) if (u + 3 * i) % 5]
+    df = spark.createDataFrame(rows, "user_id INT, item_id INT, rating DOUBLE")
+    made, solver = [], factors.ALS
+
+    def kept(**options):
+        made.append(solver(**options))
+        return made[-1]
+
+    monkeypatch.setattr(factors, "ALS", kept)
+    monkeypatch.setattr(factors, "BLOCK_VALUES", len(rows) * 3 // 12)
+    u, i = factors.mf_fit(df, rank=3, max_iter=8)
+    assert made[0].getNumUserBlocks() == made[0].getNumItemBlocks() == 12 and made[0].getCheckpointInterval() == 1
+    top = factors.mf_recommend(u, i, 4).collect()
+    assert sum(r["user_id"] % 2 == r["item_id"] % 2 for r in top) / len(top) > 0.9
