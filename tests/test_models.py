@@ -235,3 +235,18 @@ def test_blocks_of_the_solver_grow_with_the_ratings(spark, monkeypatch):
     assert made[0].getNumUserBlocks() == made[0].getNumItemBlocks() == 12 and made[0].getCheckpointInterval() == 1
     top = factors.mf_recommend(u, i, 4).collect()
     assert sum(r["user_id"] % 2 == r["item_id"] % 2 for r in top) / len(top) > 0.9
+
+
+def test_only_the_rows_of_a_profile_meet_their_vectors(spark, monkeypatch):
+    rows = [(1, 7, 5.0), (1, 8, 2.0), (2, 7, 1.0), (2, 8, None), (3, 9, 5.0), (None, 7, 4.0), (None, 8, 1.0)]
+    ratings = spark.createDataFrame(rows, "user_id INT, item_id INT, rating DOUBLE")
+    items = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 3.0])], "item_id INT, features ARRAY<DOUBLE>")
+    met, add = [], factors.sum_vectors
+
+    def counted(df, *args):
+        met.append(df.count())
+        return add(df, *args)
+
+    monkeypatch.setattr(factors, "sum_vectors", counted)
+    got = {r["user_id"]: r["features"] for r in factors.content_user_profiles(ratings, items).collect()}
+    assert got == {1: [1.0, 0.0], 2: [0.5, 1.5], None: [1.0, 0.0]} and met == [4]
