@@ -238,9 +238,9 @@ def test_blocks_of_the_solver_grow_with_the_ratings(spark, monkeypatch):
 
 
 def test_only_the_rows_of_a_profile_meet_their_vectors(spark, monkeypatch):
-    rows = [(1, 7, 5.0), (1, 8, 2.0), (2, 7, 1.0), (2, 8, None), (3, 9, 5.0), (None, 7, 4.0), (None, 8, 1.0)]
+    rows = [(1, 7, 5.0), (1, 8, 2.0), (2, 7, 1.0), (2, 8, None), (3, 9, 5.0), (None, 7, 4.0), (None, 8, 1.0), (4, 5, 5.0), (4, 7, 1.0)]
     ratings = spark.createDataFrame(rows, "user_id INT, item_id INT, rating DOUBLE")
-    items = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 3.0])], "item_id INT, features ARRAY<DOUBLE>")
+    items = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 3.0]), (5, None)], "item_id INT, features ARRAY<DOUBLE>")
     met, add = [], factors.sum_vectors
 
     def counted(df, *args):
@@ -249,4 +249,4 @@ def test_only_the_rows_of_a_profile_meet_their_vectors(spark, monkeypatch):
 
     monkeypatch.setattr(factors, "sum_vectors", counted)
     got = {r["user_id"]: r["features"] for r in factors.content_user_profiles(ratings, items).collect()}
-    assert got == {1: [1.0, 0.0], 2: [0.5, 1.5], None: [1.0, 0.0]} and met == [4]
+    assert got == {1: [1.0, 0.0], 2: [0.5, 1.5], None: [1.0, 0.0], 4: [0.0, 0.0]} and met == [2, 4]
